@@ -1,0 +1,15 @@
+"""Fixed schemas of the lineage relations."""
+
+from pyspark.sql import types as T
+
+S, B = T.StringType(), T.BooleanType()
+
+ASSET = T.StructType(
+    [
+        T.StructField("name", S, False), T.StructField("asset_type", S, False), T.StructField("file_path", S, False),
+        T.StructField("columns", T.ArrayType(S)), T.StructField("column_types", T.MapType(S, S)), T.StructField("has_tests", B), T.StructField("has_docs", B),
+        T.StructField("owner", S), T.StructField("description", S), T.StructField("tags", T.MapType(S, S)), T.StructField("ord", T.LongType()),
+    ]
+)
+EDGE = T.StructType([T.StructField("source", S, False), T.StructField("target", S, False), T.StructField("ord", T.LongType())])
+FINDING = T.StructType([T.StructField(x, S) for x in ("severity", "category", "asset_name", "message", "file_path")])
