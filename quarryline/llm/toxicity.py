@@ -6,7 +6,8 @@ continuation counts (in how many contexts a word occurs) that both classes share
 so rare words tell the classes apart only as far as they were seen. Words are
 hashed into tables of fixed size, which bounds the broadcast model; counts cover
 every training row. A document's features are its log-likelihood ratio for each
-word, over the root of its length, and the largest ratios; a logistic curve fitted
+word over its length (whole model) and over the root of its length (words alone), and
+the largest ratios; a logistic curve fitted
 on at most CALIBRATE training rows, each scored without its own counts, makes them
 a score.
 
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.common import arrow_schema, as_binary, crc_mod, map_arrow, materialize, runs, text_bytes, word_hashes
 
-WORD_BITS, PAIR_BITS = 18, 20
+WORD_BITS, PAIR_BITS = 20, 21
 BROADCAST_LABELS = 2_000_000
 CALIBRATE = 20_000
 DISCOUNT = 0.75
+FEATURES = 5
+FEATURE_ROWS = "f0 double, f1 double, f2 double, f3 double, f4 double, toxic int"
 THRESHOLD = 0.7
 
 
@@ -83,9 +86,10 @@ def train(labelled: DataFrame) -> dict[str, np.ndarray]:
     return {"u": np.stack([u0, u1]), "b": np.stack([b0, b1]), "t": np.stack([t0, t1]), "k": np.stack([k0, k1]), "shared": shared.astype(np.float32)}
 
 
-def ratios(model: dict, word: np.ndarray, before: np.ndarray, of: np.ndarray, label: np.ndarray | None) -> np.ndarray:
-    """Log-likelihood ratio of each word. label: the documents' own counts are left out of that class."""
-    pair, logs = pair_bucket(word, before), []
+def ratios(model: dict, word: np.ndarray, before: np.ndarray, of: np.ndarray, label: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood ratio of each word, by the whole model and without the word
+    before. label: the documents' own counts are left out of that class."""
+    pair, logs, plain = pair_bucket(word, before), [], []
     if label is not None:
         own = [np.unique(of << 22 | x, return_inverse=True, return_counts=True) for x in (word, pair, before)]
         own = [n[back] for _, back, n in own]
@@ -97,35 +101,38 @@ def ratios(model: dict, word: np.ndarray, before: np.ndarray, of: np.ndarray, la
         total, types = max(float(model["u"][c].sum()), 1.0), float(np.count_nonzero(model["u"][c]))
         back = min(1.0, DISCOUNT * types / total)
         p = np.maximum(u - DISCOUNT, 0) / total + back * model["shared"][word]
+        plain.append(np.log(p + 1e-30))
         weight = np.where(t > 0, np.minimum(1.0, DISCOUNT * np.maximum(model["k"][c][before], 1) / np.maximum(t, 1)), 1.0)
         logs.append(np.log(np.where(t > 0, np.maximum(np.minimum(b, t) - DISCOUNT, 0) / np.maximum(t, 1) + weight * p, p) + 1e-30))
-    return logs[1] - logs[0]
+    return logs[1] - logs[0], plain[1] - plain[0]
 
 
 def features(model: dict, texts: list[bytes], label: np.ndarray | None = None) -> np.ndarray:
     word, before, of = tokens(texts)
-    out = np.zeros((len(texts), 4))
+    out = np.zeros((len(texts), FEATURES))
     if not len(word):
         return out
-    r = ratios(model, word, before, of, label)
+    full, plain = ratios(model, word, before, of, label)
     n = np.bincount(of, minlength=len(texts))
-    total = np.bincount(of, r, len(texts))
-    out[:, 0], out[:, 1] = total / np.maximum(n, 1), total / np.sqrt(np.maximum(n, 1))
-    order = np.lexsort((-r, of))
+    out[:, 0] = np.bincount(of, full, len(texts)) / np.maximum(n, 1)
+    out[:, 1] = np.bincount(of, plain, len(texts)) / np.sqrt(np.maximum(n, 1))
+    order = np.lexsort((-plain, of))
     starts = np.cumsum(n) - n
-    for i in (0, 2):
+    for i in (0, 1):
         has = n > i
-        out[has, 2 + i // 2] = r[order[starts[has] + i]]
+        out[has, 2 + i] = plain[order[starts[has] + i]]
+    # what the strongest expressions say beyond what rare words reach by chance
+    out[:, 4] = np.bincount(of, np.maximum(plain - 4, 0), len(texts)) > 0
     return out
 
 
 def _features(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
-    schema = arrow_schema("f0 double, f1 double, f2 double, f3 double, toxic int")
+    schema = arrow_schema(FEATURE_ROWS)
     for batch in batches:
         texts, label = text_bytes(batch.column(1)), batch.column(2).to_numpy()
         for a, b in runs([len(x) for x in texts], 2_000_000):
             found = features(model.value, texts[a:b], label[a:b])
-            yield pa.RecordBatch.from_arrays([*(pa.array(found[:, i]) for i in range(4)), batch.column(2).slice(a, b - a)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(pa.array(found[:, i]) for i in range(FEATURES)), batch.column(2).slice(a, b - a)], schema=schema)
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -161,9 +168,9 @@ def fit(documents: DataFrame, labels: DataFrame) -> dict:
     model = train(labelled) | {"share": toxic / n}
     sent = documents.sparkSession.sparkContext.broadcast(model)
     part = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * CALIBRATE // n + 1))
-    found = map_arrow(part, partial(_features, model=sent), "f0 double, f1 double, f2 double, f3 double, toxic int").limit(2 * CALIBRATE).toArrow()
-    x = np.column_stack([c.to_numpy() for c in found.columns[:4]]) if found.num_rows else np.zeros((1, 4))
-    return model | logistic(x, found.columns[4].to_numpy() if found.num_rows else np.zeros(1))
+    found = map_arrow(part, partial(_features, model=sent), FEATURE_ROWS).limit(2 * CALIBRATE).toArrow()
+    x = np.column_stack([c.to_numpy() for c in found.columns[:FEATURES]]) if found.num_rows else np.zeros((1, FEATURES))
+    return model | logistic(x, found.columns[FEATURES].to_numpy() if found.num_rows else np.zeros(1))
 
 
 def score(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
