@@ -4,7 +4,8 @@ Benchmark texts become windows of ``width`` words (a shorter item is one window)
 The set of windows is broadcast in blocks of at most ``block`` windows, so the
 broadcast has a bound whatever the benchmark's size. Each document is scanned
 once a block: a cheap hash of a few words at every position finds candidates in
-the broadcast hash table, and a candidate counts only if all its words agree.
+the broadcast hash table. Candidates, by document, then meet the documents again,
+and one counts only if all its words agree.
 
 Defined results: null or empty text has no words, no hits and isn't contaminated.
 Items without words have no windows; repeated items count once for each item_id.
@@ -61,30 +62,23 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return each.groupBy("w_words", "w_width").agg(F.array_sort(F.collect_set(F.coalesce("item", F.lit("")))).alias("w_items"))
 
 
-def _hits(prepared: DataFrame, block: DataFrame, widths: list[int]) -> DataFrame:
-    """Rows of documents at which a window of this block occurs, and one row for each document at place 0."""
-    arrays, before, start = [F.expr("array(cast(null as bigint))")], F.lit(1), None
+def _candidates(prepared: DataFrame, block: DataFrame, widths: list[int]) -> DataFrame:
+    """Places at which the cheap hash of a window of this block occurs. Only keys,
+    places and hashes go through the join, never a document's words."""
+    arrays, before, start, by_width = [], F.lit(0), None, None
     for w in widths:
         n = places(F.col("n_words"), w)
+        value = anchor(F.col("w_hashes"), 0, w)
         start = F.when(F.col("w_width") == w, before) if start is None else start.when(F.col("w_width") == w, before)
+        by_width = F.when(F.col("w_width") == w, value) if by_width is None else by_width.when(F.col("w_width") == w, value)
         before = before + n
         at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("array_repeat(0, 0)"))
         arrays.append(F.transform(at, anchors_from(w)))
-    spread = prepared.select("doc_id", "k1", "k2", "n_words", "words", F.concat(*arrays).alias("anchors"))
-    spread = spread.select("doc_id", "k1", "k2", "n_words", "words", F.posexplode("anchors").alias("place", "w_anchor"))
-    if not widths:
-        return spread.select("doc_id", "k1", "k2", "n_words", F.lit(None).cast("struct<at:int,width:int>").alias("span"), F.lit(None).cast("array<string>").alias("w_items"))
+    spread = prepared.select("doc_id", "k1", "k2", "n_words", F.posexplode(F.concat(*arrays)).alias("place", "w_anchor"))
     sides = block.withColumn("w_hashes", F.transform("w_words", lambda x: F.xxhash64(x)))
-    by_width = None
-    for w in widths:
-        value = anchor(F.col("w_hashes"), 0, w)
-        by_width = F.when(F.col("w_width") == w, value) if by_width is None else by_width.when(F.col("w_width") == w, value)
     sides = sides.select("w_words", "w_width", "w_items", by_width.alias("w_anchor"))
-    found = spread.join(F.broadcast(sides), "w_anchor", "left").withColumn("at", (F.col("place") - start).cast("int"))
-    same = F.col("w_words").isNotNull() & (F.slice("words", F.col("at") + 1, F.col("w_width")) == F.col("w_words"))
-    return found.where((F.col("place") == 0) | same).select(
-        "doc_id", "k1", "k2", "n_words", F.when(F.col("w_words").isNotNull(), F.struct("at", F.col("w_width").alias("width"))).alias("span"), "w_items"
-    )
+    found = spread.join(F.broadcast(sides), "w_anchor")
+    return found.select("doc_id", "k1", "k2", F.struct((F.col("place") - start).cast("int").alias("at"), F.col("w_width").alias("width"), "w_words", "w_items").alias("candidate"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
@@ -96,24 +90,28 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
     blocks = max(1, -(-found.count() // block))
     text = F.col("text")
     # explode() of one array in an array is a barrier: the optimizer would otherwise put the array's expression into each use of it, once a word
-    prepared = documents.select("doc_id", F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"), F.explode(F.array(words(text))).alias("words"))
-    prepared = prepared.select("doc_id", "k1", "k2", "words", F.size("words").alias("n_words"), F.explode(F.array(F.transform("words", lambda x: F.xxhash64(x)))).alias("hashes"))
+    keyed = documents.select("doc_id", F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"), F.explode(F.array(words(text))).alias("words")).withColumn("n_words", F.size("words"))
+    if not widths:
+        return keyed.select("doc_id", "k1", "k2", F.col("n_words").cast("long"), F.lit(0).cast("long").alias("n_hit"), F.expr("cast(array() as array<string>)").alias("items"), F.expr("cast(array() as array<struct<at:int,width:int>>)").alias("spans"))
+    prepared = keyed.select("doc_id", "k1", "k2", "n_words", F.explode(F.array(F.transform("words", lambda x: F.xxhash64(x)))).alias("hashes"))
     rows = None
     for b in range(blocks):
         part = found if blocks == 1 else found.where(F.pmod(F.xxhash64("w_words"), F.lit(blocks)) == b)
-        hits = _hits(prepared, part, widths)
-        rows = hits if rows is None else rows.unionByName(hits.where(F.col("span").isNotNull()))
-    grouped = rows.groupBy("doc_id", "k1", "k2", "n_words").agg(
-        F.count(F.when(F.col("span").isNull(), 1)).alias("copies"), F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("w_items").alias("item_sets")
-    )
+        hits = _candidates(prepared, part, widths)
+        rows = hits if rows is None else rows.unionByName(hits)
+    grouped = rows.groupBy("doc_id", "k1", "k2").agg(F.collect_set("candidate").alias("candidates")).select(F.col("doc_id").alias("c_id"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), "candidates")
+    grouped = materialize(grouped, "candidates")
+    same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
+    # a candidate counts if all its words agree
+    checked = F.expr("filter(coalesce(candidates, array()), c -> slice(words, c.at + 1, c.width) = c.w_words)")
+    joined = keyed.join(grouped, same, "left").select("doc_id", "k1", "k2", "n_words", F.explode(F.array(checked)).alias("hits"))
+    joined = joined.select("doc_id", "k1", "k2", "n_words", "hits", F.expr("array_sort(array_distinct(transform(hits, c -> struct(c.at as at, c.width as width))))").alias("spans"))
     covered = F.expr(
         "aggregate(spans, named_struct('n', 0, 'upto', 0), (s, x) -> named_struct("
         "'n', s.n + greatest(0, x.at + x.width - greatest(s.upto, x.at)), 'upto', greatest(s.upto, x.at + x.width))).n"
     )
-    return grouped.select(
-        "doc_id", "k1", "k2", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten("item_sets"))).alias("items"), "spans", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-    ).drop("copy")
+    items = F.expr("array_sort(array_distinct(flatten(transform(hits, c -> c.w_items))))")
+    return joined.select("doc_id", "k1", "k2", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), items.alias("items"), "spans")
 
 
 def is_contaminated(parts: int = 20) -> Column:
