@@ -18,10 +18,12 @@ so. Without rows of both classes every score is the share of toxic labels, or 0.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,7 @@ BROADCAST_LABELS = 2_000_000
 CALIBRATE = 20_000
 DISCOUNT = 0.75
 FEATURES = 5
+TABLES = {"u": (2, 1 << WORD_BITS), "b": (2, 1 << PAIR_BITS), "t": (2, 1 << WORD_BITS), "k": (2, 1 << WORD_BITS), "shared": (1 << WORD_BITS,)}
 FEATURE_ROWS = "f0 double, f1 double, f2 double, f3 double, f4 double, toxic int"
 THRESHOLD = 0.7
 
@@ -126,12 +129,33 @@ def features(model: dict, texts: list[bytes], label: np.ndarray | None = None) -
     return out
 
 
-def _features(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
-    schema = arrow_schema(FEATURE_ROWS)
+class Fitted(NamedTuple):
+    """share: of toxic labels. counts: the packed tables, sent once. curve: what makes
+    features a score; without it every score is the share."""
+
+    share: float
+    counts: Broadcast | None = None
+    curve: dict[str, np.ndarray] | None = None
+
+
+def packed(model: dict[str, np.ndarray]) -> dict[str, bytes]:
+    """The tables compressed: executors keep a broadcast on disk, and most cells are zero."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return {name: pack(np.ascontiguousarray(model[name], np.float32).tobytes()) for name in TABLES}
+
+
+@lru_cache(1)
+def _unpacked(counts: Broadcast) -> dict[str, np.ndarray]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return {name: np.frombuffer(unpack(counts.value[name]), np.float32).reshape(shape) for name, shape in TABLES.items()}
+
+
+def _features(batches: Iterator[pa.RecordBatch], counts: Broadcast) -> Iterator[pa.RecordBatch]:
+    schema, model = arrow_schema(FEATURE_ROWS), _unpacked(counts)
     for batch in batches:
         texts, label = text_bytes(batch.column(1)), batch.column(2).to_numpy()
         for a, b in runs([len(x) for x in texts], 2_000_000):
-            found = features(model.value, texts[a:b], label[a:b])
+            found = features(model, texts[a:b], label[a:b])
             yield pa.RecordBatch.from_arrays([*(pa.array(found[:, i]) for i in range(FEATURES)), batch.column(2).slice(a, b - a)], schema=schema)
 
 
@@ -146,48 +170,52 @@ def logistic(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     return {"middle": middle, "spread": spread, "w": w}
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Broadcast, threshold: float) -> Iterator[pa.RecordBatch]:
-    schema, m = arrow_schema("doc_id long, held_out boolean, score double, predicted int"), model.value
-    for batch in batches:
-        texts = text_bytes(batch.column(1))
-        score = np.full(len(texts), float(m["share"]))
-        if "w" in m:
-            for a, b in runs([len(x) for x in texts], 2_000_000):
-                z = (features(m, texts[a:b]) - m["middle"]) / m["spread"]
-                score[a:b] = 1 / (1 + np.exp(-np.clip(z @ m["w"][:-1] + m["w"][-1], -30, 30)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
+def scores(texts: list[bytes], fitted: Fitted) -> np.ndarray:
+    out = np.full(len(texts), float(fitted.share))
+    if fitted.curve is not None:
+        model, curve = _unpacked(fitted.counts), fitted.curve
+        for a, b in runs([len(x) for x in texts], 2_000_000):
+            z = (features(model, texts[a:b]) - curve["middle"]) / curve["spread"]
+            out[a:b] = 1 / (1 + np.exp(-np.clip(z @ curve["w"][:-1] + curve["w"][-1], -30, 30)))
+    return out
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> dict:
+def fit(documents: DataFrame, labels: DataFrame) -> Fitted:
     known = labels.where("toxic is not null and doc_id is not null").where(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.sum("toxic")).head()
+    share = toxic / n if n else 0.0
     if not n or not toxic or toxic == n:
-        return {"share": toxic / n if n else 0.0}
+        return Fitted(share)
     texts = documents.select("doc_id", as_binary())
     labelled = texts.join(F.broadcast(known) if n <= BROADCAST_LABELS else known, "doc_id").select("doc_id", "text", "toxic")
-    model = train(labelled) | {"share": toxic / n}
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    counts = documents.sparkSession.sparkContext.broadcast(packed(train(labelled)))
     part = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * CALIBRATE // n + 1))
-    found = map_arrow(part, partial(_features, model=sent), FEATURE_ROWS).limit(2 * CALIBRATE).toArrow()
-    x = np.column_stack([c.to_numpy() for c in found.columns[:FEATURES]]) if found.num_rows else np.zeros((1, FEATURES))
-    return model | logistic(x, found.columns[FEATURES].to_numpy() if found.num_rows else np.zeros(1))
+    found = map_arrow(part, partial(_features, counts=counts), FEATURE_ROWS).limit(2 * CALIBRATE).toArrow()
+    if not found.num_rows:
+        return Fitted(share)
+    x = np.column_stack([c.to_numpy() for c in found.columns[:FEATURES]])
+    return Fitted(share, counts, logistic(x, found.columns[FEATURES].to_numpy()))
+
+
+def _score(batches: Iterator[pa.RecordBatch], fitted: Fitted, threshold: float) -> Iterator[pa.RecordBatch]:
+    schema = arrow_schema("doc_id long, held_out boolean, score double, predicted int")
+    for batch in batches:
+        score = scores(text_bytes(batch.column(1)), fitted)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
 
 
 def score(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    sent = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
+    fitted = fit(documents, labels)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), as_binary(), (crc_mod("doc_id", 3) == 1).alias("held_out"))
-    return map_arrow(rows, partial(_score, model=sent, threshold=threshold), "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(rows, partial(_score, fitted=fitted, threshold=threshold), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def _keep(batches: Iterator[pa.RecordBatch], model: Broadcast, threshold: float) -> Iterator[pa.RecordBatch]:
+def _keep(batches: Iterator[pa.RecordBatch], fitted: Fitted, threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
-        held = pa.array([False] * len(texts))
-        got = next(_score(iter([pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts, held], names=["doc_id", "text", "held_out"])]), model, threshold))
-        yield batch.filter(pa.array(got.column(3).to_numpy() == 0))
+        yield batch.filter(pa.array(scores(text_bytes(texts), fitted) < threshold))
 
 
 def keep_ordinary(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that aren't predicted toxic, with all their columns."""
-    sent = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
-    return documents.mapInArrow(partial(_keep, model=sent, threshold=threshold), documents.schema)
+    return documents.mapInArrow(partial(_keep, fitted=fit(documents, labels), threshold=threshold), documents.schema)
