@@ -87,6 +87,22 @@ CASE o_orderkey % 4 WHEN 0 THEN '{{ config(materialized=''view'') }} select * fr
 WHEN 1 THEN '{# note #} select a from {{ source(''raw'', ''t' || o_orderkey || ''') }} join {{ ref(''m'') }}' WHEN 2 THEN 'from airflow import DAG' ELSE 'spark = SparkSession' END AS content FROM orders)"""
 
 
+def contracts(spark: SparkSession, d: str) -> DataFrame:
+    """Datasets that name a customer exactly, in other case, by last segment, or not at all."""
+    k = F.col("n_nationkey")
+    mark = F.when(k % 4 == 0, "c").when(k % 4 == 1, "C").when(k % 4 == 2, "db.C").otherwise("zz")
+    return _t(spark, d, "nation").select(F.concat(mark, k.cast("string")).alias("dataset"))
+
+
+CONTRACTS = "ct AS (SELECT CASE n_nationkey % 4 WHEN 0 THEN 'c' WHEN 1 THEN 'C' WHEN 2 THEN 'db.C' ELSE 'zz' END || n_nationkey AS dataset FROM nation)"
+OWNERS = [(1, "^models/", "all"), (2, "^models/staging/", "staging"), (3, "/c[0-9]+[.]sql$", "customers")]
+
+
+def owners(spark: SparkSession, d: str) -> DataFrame:
+    rules = spark.createDataFrame(OWNERS, "line int, pattern string, owners string")
+    return scores.last_match(row_assets(spark, d).select(F.col("file_path").alias("path")), rules)
+
+
 def _degrees(s, d):
     return graph.degrees(row_assets(s, d), row_edges(s, d))
 
@@ -106,6 +122,8 @@ QUERIES = {
     "doc_coverage": lambda s, d: scores.coverage(row_assets(s, d), "has_docs"),
     "missing_test_findings": lambda s, d: scores.missing_tests(row_assets(s, d), _degrees(s, d)),
     "missing_doc_findings": lambda s, d: scores.missing_docs(row_assets(s, d)),
+    "contract_asset": lambda s, d: scores.best_asset(contracts(s, d), row_assets(s, d)),
+    "path_owners": owners,
     "file_classify": lambda s, d: files(s, d).select("path", text.file_type(F.col("path"), F.col("content")).alias("file_type")),
     "dbt_refs": lambda s, d: files(s, d).select("path", F.concat_ws(",", text.refs(F.col("content"))).alias("refs")),
     "dbt_sources": lambda s, d: files(s, d).select("path", F.concat_ws(",", text.sources(F.col("content"))).alias("sources")),
@@ -128,6 +146,8 @@ ORACLES = {
     "doc_coverage": COVERAGE.format(a=ROW_ASSETS, f="has_docs"),
     "missing_test_findings": f"WITH {DEGREES}, x AS (SELECT ra.name, out_degree AS n, contains(file_path, 'staging') AS st FROM ra JOIN dg USING (name) WHERE NOT has_tests AND out_degree > 0) SELECT CASE WHEN n > 10 THEN CASE WHEN st THEN 'warning' ELSE 'critical' END WHEN st THEN 'info' ELSE 'warning' END AS severity, 'missing_test' AS category, name AS asset_name, 'No tests; ' || n || ' downstream dependent(s); staging=' || CASE WHEN st THEN 'True' ELSE 'False' END || ' (lower risk when True)' AS message FROM x",
     "missing_doc_findings": f"WITH {ROW_ASSETS} SELECT CASE WHEN asset_type = 'dbt_model' THEN 'warning' ELSE 'info' END AS severity, 'missing_documentation' AS category, name AS asset_name FROM ra WHERE NOT has_docs",
+    "contract_asset": f"WITH {ROW_ASSETS}, {CONTRACTS}, h AS (SELECT dataset, name, ord, CASE WHEN dataset = name THEN 1 WHEN lower(dataset) = lower(name) THEN 2 ELSE 3 END AS tier FROM ct JOIN ra ON lower(split_part(dataset, '.', -1)) = lower(split_part(name, '.', -1))), b AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY tier, ord) AS n FROM h) SELECT ct.dataset, b.name, b.tier FROM ct LEFT JOIN b ON ct.dataset = b.dataset AND n = 1",
+    "path_owners": f"WITH {ROW_ASSETS} SELECT file_path AS path, CASE WHEN regexp_matches(file_path, '/c[0-9]+[.]sql$') THEN 'customers' WHEN starts_with(file_path, 'models/staging/') THEN 'staging' ELSE 'all' END AS owners FROM ra",
     "file_classify": f"WITH {FILES} SELECT path, CASE WHEN path LIKE 'models/%' THEN 'dbt_model' WHEN path LIKE '%.sql' THEN 'sql' WHEN contains(content, 'airflow') THEN 'airflow_dag' ELSE 'spark_job' END AS file_type FROM f",
     "dbt_refs": f"WITH {FILES} SELECT path, array_to_string(regexp_extract_all(content, 'ref\\(''([^'']+)''\\)', 1), ',') AS refs FROM f",
     "dbt_sources": f"WITH {FILES} SELECT path, coalesce(nullif(regexp_extract(content, 'source\\(''([^'']+)''', 1) || '.' || regexp_extract(content, 'source\\(''[^'']+'', ''([^'']+)''', 1), '.'), '') AS sources FROM f",
