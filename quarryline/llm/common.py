@@ -146,7 +146,10 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     """A 64-bit hash of each codes[start:end], from prefix sums of a polynomial."""
     up, down = _POWERS.upto(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    terms = codes.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= up[:-1]
+    np.cumsum(terms, out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

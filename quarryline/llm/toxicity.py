@@ -33,6 +33,8 @@ from quarryline.llm.common import arrow_schema, as_binary, crc_mod, map_arrow, m
 WORD_BITS, PAIR_BITS = 20, 21
 BROADCAST_LABELS = 2_000_000
 CALIBRATE = 20_000
+#: Bytes of text counted together, and hashed together (hashing takes some 40 times its text).
+COUNT_BYTES, HASH_BYTES = 16_000_000, 2_000_000
 DISCOUNT = 0.75
 FEATURES = 5
 TABLES = {"u": (2, 1 << WORD_BITS), "b": (2, 1 << PAIR_BITS), "t": (2, 1 << WORD_BITS), "k": (2, 1 << WORD_BITS), "shared": (1 << WORD_BITS,)}
@@ -58,11 +60,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema("word long, before long, c0 long, c1 long")
     for batch in batches:
         texts, labels = text_bytes(batch.column(1)), batch.column(2).to_numpy()
-        for a, b in runs([len(x) for x in texts], 16_000_000):
-            word, before, of = tokens(texts[a:b])
-            if len(word):
-                keys, back = np.unique(word << WORD_BITS | before, return_inverse=True)
-                toxic = np.bincount(back, labels[a:b][of], len(keys)).astype(np.int64)
+        sizes = [len(x) for x in texts]
+        for a, b in runs(sizes, COUNT_BYTES):
+            pairs, marks = [], []
+            for c, d in runs(sizes[a:b], HASH_BYTES):
+                word, before, of = tokens(texts[a + c : a + d])
+                pairs.append(word << WORD_BITS | before)
+                marks.append(labels[a + c : a + d][of])
+            keys, back = np.unique(np.concatenate(pairs), return_inverse=True)
+            if len(keys):
+                toxic = np.bincount(back, np.concatenate(marks), len(keys)).astype(np.int64)
                 n = np.bincount(back, minlength=len(keys))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys >> WORD_BITS, keys & (1 << WORD_BITS) - 1, n - toxic, toxic)], schema=schema)
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
@@ -102,6 +103,16 @@ def test_secrets():
     assert secrets.find("") == []
 
 
+def test_toxicity_counts(monkeypatch):
+    random.seed(6)
+    texts = ["", *(" ".join(random.choices(["a", "b", "c", "d"], k=random.randrange(40))) for _ in range(200))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(201)), pa.array([x.encode() for x in texts]), pa.array([i % 2 for i in range(201)], pa.int32())], names=["doc_id", "text", "toxic"])
+    whole = [b.to_pydict() for b in toxicity._count([batch])]
+    monkeypatch.setattr(toxicity, "HASH_BYTES", 60)
+    assert [b.to_pydict() for b in toxicity._count([batch])] == whole
+    assert sum(whole[0]["c1"]) == sum(len(x.split()) for x in texts[1::2])
+
+
 def test_toxicity(spark):
     random.seed(5)
     plain = [f"word{i}" for i in range(60)]
