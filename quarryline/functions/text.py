@@ -57,3 +57,8 @@ def canonical_type(kind: Column) -> Column:
     for family, members in FAMILIES.items():
         out = F.when(base.isin(members), family).otherwise(out)
     return out
+
+
+def has_excluded_part(path: Column, excluded: list[str]) -> Column:
+    """Whether a part of the path is one of these names, in any case."""
+    return F.arrays_overlap(F.split(F.lower(path), "/"), F.array(*(F.lit(x.lower()) for x in excluded))) if excluded else F.lit(False)

@@ -21,6 +21,10 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    return _cut(df)
+
+
 def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target").distinct()
 

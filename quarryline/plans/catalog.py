@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import text
-from quarryline.operators import graph, scores
+from quarryline.operators import graph, impact, scores
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -103,6 +103,44 @@ def owners(spark: SparkSession, d: str) -> DataFrame:
     return scores.last_match(row_assets(spark, d).select(F.col("file_path").alias("path")), rules)
 
 
+def dim_nodes(s, d):
+    return graph.endpoints(dim_edges(s, d))
+
+
+def dim_columns(s, d):
+    return dim_nodes(s, d).where("name like 'm%'").select("name", F.lit(2).alias("n_columns"))
+
+
+def dim_sql(s, d):
+    return dim_nodes(s, d).select("name", F.length("name").alias("sql"))
+
+
+def commits(s, d):
+    return _t(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("asset_name"), F.col("o_orderdate").cast("timestamp").alias("at"))
+
+
+def stale_assets(s, d):
+    return impact.stale(commits(s, d).join(F.broadcast(commits(s, d).agg(F.max("at").alias("as_of"))), F.lit(True)), F.col("as_of"))
+
+
+def test_names(s, d):
+    k = F.col("c_custkey") % 4
+    names = F.when(k == 0, F.expr("cast(array() as array<string>)")).when(k == 1, F.array(F.lit("not_null"))).when(k == 2, F.array(F.lit("not_null"), F.lit("Unique"))).otherwise(F.array(F.lit("own_check")))
+    return _t(s, d, "customer").select("c_custkey", names.alias("names"))
+
+
+DIMENSIONS = ["dead_assets", "test_coverage", "documentation", "ownership", "contracts", "cost_hotspots", "complexity", "other"]
+
+
+def dimension_scores(s, d):
+    at = F.element_at(F.array(*map(F.lit, DIMENSIONS)), F.col("n_nationkey").cast("int") + 1)
+    return _t(s, d, "nation").where("n_nationkey < 8").select(at.alias("dimension"), (F.col("n_nationkey") * 13 % 101).cast("int").alias("score"))
+
+
+def sql_type(k):
+    return F.when(k % 4 == 0, "VARCHAR(10)").when(k % 4 == 1, "double  precision").when(k % 4 == 2, "BigInt").otherwise("geometry")
+
+
 def _degrees(s, d):
     return graph.degrees(row_assets(s, d), row_edges(s, d))
 
@@ -118,6 +156,17 @@ QUERIES = {
     "descendant_counts": lambda s, d: graph.descendant_counts(dim_edges(s, d)),
     "bfs_depth": lambda s, d: graph.depths(graph.endpoints(dim_edges(s, d)), dim_edges(s, d)),
     "critical_path_length": lambda s, d: graph.levels(dim_edges(s, d))[0].agg((F.max("level") + 1).cast("long").alias("critical_path_length")),
+    "is_dag": lambda s, d: impact.is_dag(dim_edges(s, d)),
+    "dead_asset_impact": lambda s, d: impact.dead_findings(dim_nodes(s, d), dim_edges(s, d), dim_columns(s, d)),
+    "complexity_scores": lambda s, d: impact.complexity(dim_nodes(s, d), dim_edges(s, d), dim_sql(s, d)).select("name", *(F.bround(c, 4).alias(c) for c in ("depth_score", "fanout_score", "fanin_score", "sql_score", "combined"))),
+    "complexity_p80": lambda s, d: impact.complexity_summary(impact.complexity(dim_nodes(s, d), dim_edges(s, d), dim_sql(s, d))),
+    "stale_assets": stale_assets,
+    "stale_annotations": lambda s, d: impact.annotations(stale_assets(s, d)),
+    "path_exclude": lambda s, d: files(s, d).where(~text.has_excluded_part(F.col("path"), ["ADHOC", "target"])).select("path"),
+    "type_canonical": lambda s, d: _t(s, d, "part").select("p_partkey", text.canonical_type(sql_type(F.col("p_partkey"))).alias("type")),
+    "test_richness": lambda s, d: test_names(s, d).select("c_custkey", impact.richness(F.col("names")).alias("richness")),
+    "overall_health": lambda s, d: impact.overall_health(dimension_scores(s, d)),
+    "scan_diff_assets": lambda s, d: impact.added(row_assets(s, d), row_assets(s, d).where("ord % 3 <> 0"), ["name"]),
     "test_coverage": lambda s, d: scores.coverage(row_assets(s, d), "has_tests"),
     "doc_coverage": lambda s, d: scores.coverage(row_assets(s, d), "has_docs"),
     "missing_test_findings": lambda s, d: scores.missing_tests(row_assets(s, d), _degrees(s, d)),
@@ -131,7 +180,25 @@ QUERIES = {
 }
 
 COVERAGE = "WITH {a}, n AS (SELECT count(*) AS total, count(*) FILTER (WHERE {f}) AS covered FROM ra) SELECT total, covered, round_even(covered / total, 6) AS ratio, CAST(round_even(covered / total * 100, 0) AS INTEGER) AS score FROM n"
+CLOSURE = f"{DIM_EDGES}, c(a, b) AS (SELECT source, target FROM de UNION SELECT c.a, de.target FROM c JOIN de ON c.b = de.source)"
+COMPLEXITY = f"""WITH RECURSIVE {DIM_EDGES}, n AS (SELECT source AS name FROM de UNION SELECT target FROM de),
+w(root, name, d) AS (SELECT name, name, 0 FROM n WHERE name NOT IN (SELECT target FROM de) UNION SELECT root, target, d + 1 FROM w JOIN de ON w.name = de.source),
+dp AS (SELECT name, max(d) AS d FROM (SELECT root, name, min(d) AS d FROM w GROUP BY ALL) GROUP BY name),
+r AS (SELECT n.name, coalesce(d, 0) AS d, (SELECT count(*) FROM de WHERE source = n.name) AS fo, (SELECT count(*) FROM de WHERE target = n.name) AS fi, len(n.name) AS sq FROM n LEFT JOIN dp USING (name)),
+x AS (SELECT name, d / max(d) OVER () * 100 AS d, fo / max(fo) OVER () * 100 AS fo, fi / max(fi) OVER () * 100 AS fi, sq / max(sq) OVER () * 100 AS sq FROM r),
+y AS (SELECT *, 0.25::DOUBLE * d + 0.25::DOUBLE * fo + 0.25::DOUBLE * fi + 0.25::DOUBLE * sq AS c FROM x)"""
 ORACLES = {
+    "is_dag": f"WITH RECURSIVE {CLOSURE} SELECT count(*) = 0 AS is_dag FROM c WHERE a = b",
+    "dead_asset_impact": f"WITH RECURSIVE {CLOSURE}, dead AS (SELECT DISTINCT target AS name FROM de WHERE target NOT IN (SELECT source FROM de)), ch AS (SELECT b AS name, a AS r FROM c JOIN dead ON b = dead.name UNION SELECT name, name FROM dead), ws AS (SELECT name, sum(CASE WHEN r LIKE 'm%' THEN 3 ELSE 1 END) AS w FROM ch GROUP BY name), ex AS (SELECT target AS name, count(*) AS f FROM de WHERE source IN (SELECT source FROM de GROUP BY source HAVING count(*) = 1) GROUP BY target) SELECT CASE WHEN w >= 50 OR coalesce(f, 0) >= 5 THEN 'critical' WHEN w >= 20 OR coalesce(f, 0) >= 2 THEN 'warning' ELSE 'info' END AS severity, 'dead_asset' AS category, name AS asset_name, 'No downstream consumers; ' || coalesce(f, 0) || ' exclusive upstream feeder(s); estimated wasted compute (chain complexity)=' || w AS message FROM ws LEFT JOIN ex USING (name)",
+    "complexity_scores": f"{COMPLEXITY} SELECT name, round_even(d, 4) AS depth_score, round_even(fo, 4) AS fanout_score, round_even(fi, 4) AS fanin_score, round_even(sq, 4) AS sql_score, round_even(c, 4) AS combined FROM y",
+    "complexity_p80": f"{COMPLEXITY}, p AS (SELECT avg(c) AS m, quantile_cont(c, 0.8) AS p FROM y) SELECT CAST(round_even(m, 0) AS INTEGER) AS score, round_even(p, 6) AS threshold, (SELECT count(*) FROM y WHERE c >= p - 1e-9 AND c >= 1) AS above FROM p",
+    "stale_assets": "SELECT 'warning' AS severity, 'stale_asset' AS category, CAST(o_orderkey AS VARCHAR) AS asset_name, 'Last commit on file is older than ~6 months (' || strftime(o_orderdate, '%Y-%m-%d') || ')' AS message FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 183 DAY",
+    "stale_annotations": "SELECT '::warning title=quarryline::stale_asset [' || o_orderkey || '] Last commit on file is older than ~6 months (' || strftime(o_orderdate, '%Y-%m-%d') || ')' AS line FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 183 DAY",
+    "path_exclude": f"WITH {FILES} SELECT path FROM f WHERE NOT starts_with(path, 'adhoc/')",
+    "type_canonical": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'string' WHEN 1 THEN 'float' WHEN 2 THEN 'integer' ELSE 'geometry' END AS type FROM part",
+    "test_richness": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 1 THEN 'low' ELSE 'ok' END AS richness FROM customer",
+    "overall_health": "SELECT CAST(round_even(avg(CASE WHEN n_nationkey = 6 THEN 100 - n_nationkey * 13 % 101 ELSE n_nationkey * 13 % 101 END), 0) AS INTEGER) AS overall FROM nation WHERE n_nationkey < 7",
+    "scan_diff_assets": f"WITH {ROW_ASSETS} SELECT name FROM ra EXCEPT SELECT name FROM ra WHERE ord % 3 <> 0",
     "edge_dedupe": f"WITH {ROW_EDGES} SELECT * FROM re",
     "graph_degrees": f"WITH {DEGREES} SELECT * FROM dg",
     "dead_assets": f"WITH {DEGREES} SELECT name FROM dg WHERE out_degree = 0 AND in_degree > 0",
