@@ -68,7 +68,7 @@ class Table:
     def clear(self) -> None:
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.place = np.zeros(1 << self.bits, np.int32)
-        self.count = np.zeros(1 << self.bits, np.uint16)
+        self.count = np.zeros(1 << self.bits, np.int32)
         self.ids = np.empty(1 << 16, np.uint32)
         self.filled = self.entries = 0
 
