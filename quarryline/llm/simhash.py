@@ -22,7 +22,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import arrow_schema, as_binary, map_arrow, materialize, text_bytes
@@ -49,14 +49,16 @@ def fingerprint(text: bytes) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * count > len(hashes)).tolist())
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = np.array([fingerprint(x) for x in text_bytes(batch.column(1))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], schema=arrow_schema("doc_id long, fp long"))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), *batch.columns[2:]], schema=schema)
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    return map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), as_binary()), _fingerprints, "doc_id long, fp long")
+def fingerprints(documents: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fp, and the columns ``more`` (long)."""
+    spec = ", ".join(f"{c} long" for c in ("doc_id", "fp", *more))
+    return map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), as_binary(), *more), partial(_fingerprints, schema=arrow_schema(spec)), spec)
 
 
 def split(values: np.ndarray, seed: int) -> tuple[int, int] | None:
@@ -203,14 +205,18 @@ def components(edges: DataFrame) -> DataFrame:
         edges = new
 
 
+def rooted(classes: DataFrame) -> DataFrame:
+    """classes(fp, distinct, and more) with root, the smallest fingerprint of the component."""
+    nodes = components(links(classes.select("fp")))
+    return classes.join(nodes, classes["fp"] == nodes["node"], "left").select(*classes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def groups(documents: DataFrame) -> DataFrame:
     """Per document row: doc_id, fp, component_id."""
     prints = materialize(fingerprints(documents), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    nodes = components(links(classes.select("fp")))
-    rooted = classes.join(nodes, classes["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(tops, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    classes = rooted(materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes"))
+    tops = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(classes.join(tops, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -218,8 +224,13 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id, of repeated rows the first by their hash."""
-    kept = groups(documents).select("doc_id", "component_id").distinct().where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    left = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return left.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+    """One row of each group: the one with the smallest doc_id (null only if all are), of several the first by a hash
+    of the row. Groups are told apart by their root, as rows of different groups may share a doc_id."""
+    row = documents.columns
+    marked = documents.withColumns({"__a": F.xxhash64(*row), "__b": F.xxhash64(F.lit(1), *row)})  # 128 bits name a row's content
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__a", "__b")
+    prints = materialize(fingerprints(marked, "__a", "__b"), "fingerprints")
+    classes = rooted(materialize(prints.groupBy("fp").agg(F.min(key).alias("least")), "classes"))
+    kept = classes.groupBy("root").agg(F.min("least").alias("least")).select("least.__a", "least.__b")
+    # rows alike in all columns are reduced where they are read, so no key is hot in the join
+    return marked.dropDuplicates(["__a", "__b"]).join(kept, ["__a", "__b"], "left_semi").select(*row)

@@ -2,7 +2,7 @@
 
 import random
 
-from quarryline.llm import bpe
+from quarryline.llm import bpe, simhash
 from quarryline.llm.common import tokenizer_path
 
 
@@ -14,3 +14,12 @@ def test_encoder_on_pieces_of_many_ids():
     want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert min(len(want[0]), len(want[2])) > 1 << 16
     assert counts.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+
+
+def test_keep_one_of_each_group(spark):
+    texts = ["red green blue one", "seven small cats sleep here", "an old stone bridge over water", "what the clerk wrote in May"]
+    given = [(None, texts[0]), (None, texts[1]), (None, texts[0]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (7, texts[3]), (None, texts[3]), (9, None), (8, " ")]
+    rows = spark.createDataFrame([(i, t, "en", "s", n, "x") for n, (i, t) in enumerate(given)], "doc_id long, text string, lang string, source string, n_chars long, words string")
+    kept = simhash.keep_one(rows.unionByName(rows)).collect()
+    assert kept[0].words == "x" and sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in kept) == sorted([(-1, texts[0]), (-1, texts[1]), (5, texts[2]), (5, texts[3]), (8, " ")])
+    assert all(given[r.n_chars] == (r.doc_id, r.text) for r in kept)
