@@ -4,7 +4,7 @@ Base spans come from fixed patterns. Other strings in a sensitive context are
 measured by dictionary-primed zstandard: a candidate's marginal size is what it
 adds to the compressed size of its surroundings, with identifiers and common words
 as the dictionary. What hardly compresses below its alphabet's own size is
-reported as ``novel``.
+reported as ``novel``: the whole run of parts joined by dots, whatever its length.
 
 Defined results: null and empty texts have no spans. Repeated rows each give a row.
 Places are code points. Letter case counts in ASCII only."""
@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -26,8 +29,12 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}+")
 SENSITIVE = re.compile(r"(?:passw|secret|token|api[_-]?key|credential|authorization|bearer|private[_-]?key|access[_-]?key)[a-z_]{0,12}", re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}+")
-REACH = 48
+FIRST = re.compile(r"[A-Za-z0-9+/_=-]")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]++(?:\.[A-Za-z0-9+/_=-]++)*+")
+PART = re.compile(r"[A-Za-z0-9+/_=-]{20,}+")
+PLAIN = re.compile(r"[A-Za-z0-9]{20,}+")
+#: A candidate starts up to REACH characters after a cue and has a PART; AROUND characters of both sides are its surroundings.
+REACH, AROUND = 48, 200
 #: Identifiers and words that code and prose are full of.
 IDENTIFIERS = (
     "return function import export default const class public private static void string number boolean undefined null true false self this "
@@ -56,6 +63,32 @@ def _mixed(x: str) -> bool:
     return any(c.isdigit() for c in x) and any(c.isalpha() for c in x)
 
 
+def _novel(text: str, start: int, end: int, least: float) -> bool:
+    around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
+    return novelty(around, text[start:end]) >= least
+
+
+def _candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of parts joined by dots, whole, that start soon after a cue."""
+    upto = 0
+    for cue in SENSITIVE.finditer(text):
+        at = max(upto, cue.end())
+        while first := FIRST.search(text, at, cue.end() + REACH + 1):
+            yield first.start(), (at := CANDIDATE.match(text, first.start()).end())
+        upto = max(upto, at)
+
+
+def _pieces(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """What is measured of a candidate: all of it, then what may be novel beside familiar parts."""
+    yield start, end
+    for pattern in (PART, PLAIN):
+        for part in pattern.finditer(text, start, end):
+            yield part.span()
+    if end - start > AROUND:
+        for a in [*range(start, end - AROUND, AROUND), end - AROUND]:
+            yield a, a + AROUND
+
+
 def find(text: str, least: float = 0.9) -> list[Span]:
     out: list[Span] = []
     low = text.lower()
@@ -66,16 +99,13 @@ def find(text: str, least: float = 0.9) -> list[Span]:
         out += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", *m.span()) for m in HEX.finditer(text)]
     if sensitive:
-        upto = 0
-        for cue in SENSITIVE.finditer(text):
-            for m in CANDIDATE.finditer(text, max(upto, cue.end()), min(len(text), cue.end() + REACH + 200)):
-                if m.start() > cue.end() + REACH:
-                    break
-                upto = m.end()
-                if _mixed(m.group()) and not any(a <= m.start() and m.end() <= b for _, a, b in out):
-                    around = text[max(0, m.start() - 200) : m.start()] + text[m.end() : m.end() + 200]
-                    if novelty(around, m.group()) >= least:
-                        out.append(("novel", *m.span()))
+        base = sorted(x[1:] for x in out)
+        starts, ends = [x for x, _ in base], list(accumulate((y for _, y in base), max))
+        known = lambda a, b: (i := bisect_right(starts, a)) > 0 and b <= ends[i - 1]
+        for start, end in _candidates(text):
+            if any(_mixed(m.group()) and not known(*m.span()) for m in PART.finditer(text, start, end)):
+                if any(_mixed(text[a:b]) and not known(a, b) and _novel(text, a, b, least) for a, b in dict.fromkeys(_pieces(text, start, end))):
+                    out.append(("novel", start, end))
     return out
 
 

@@ -1,8 +1,9 @@
 """Cases in which operators once did less than the whole job."""
 
 import random
+import string
 
-from quarryline.llm import bpe, simhash
+from quarryline.llm import bpe, secrets, simhash
 from quarryline.llm.common import tokenizer_path
 
 
@@ -23,3 +24,15 @@ def test_keep_one_of_each_group(spark):
     kept = simhash.keep_one(rows.unionByName(rows)).collect()
     assert kept[0].words == "x" and sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in kept) == sorted([(-1, texts[0]), (-1, texts[1]), (5, texts[2]), (5, texts[3]), (8, " ")])
     assert all(given[r.n_chars] == (r.doc_id, r.text) for r in kept)
+
+
+def chance(seed, n):
+    random.seed(seed)
+    return "".join(random.choices(string.ascii_letters + string.digits, k=n))
+
+
+def test_secrets_whole():
+    for token in (chance(1, 1000), ".".join([chance(2, 36), chance(3, 150), chance(4, 43)]), chance(5, 30) + "." + chance(6, 5) + "." + chance(7, 27)):
+        text = "Authorization: Bearer " + token + " ok"
+        assert secrets.find(text) == [("novel", 22, 22 + len(token))]
+        assert secrets.find("bearer " + "x " * 30 + token) == []  # out of every cue's reach
