@@ -5,6 +5,7 @@ measured by dictionary-primed zstandard: a candidate's marginal size is what it
 adds to the compressed size of its surroundings, with identifiers and common words
 as the dictionary. What hardly compresses below its alphabet's own size is
 reported as ``novel``: the whole run of parts joined by dots, whatever its length.
+Copies of what is measured don't count as its surroundings.
 
 Defined results: null and empty texts have no spans. Repeated rows each give a row.
 Places are code points. Letter case counts in ASCII only."""
@@ -64,8 +65,12 @@ def _mixed(x: str) -> bool:
 
 
 def _novel(text: str, start: int, end: int, least: float) -> bool:
-    around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
-    return novelty(around, text[start:end]) >= least
+    """Measured without other copies of the same string beside it."""
+    found, blank = text[start:end], "\0" * (end - start)
+    reach = AROUND + len(found)  # whole copies that reach into the surroundings
+    before = text[max(0, start - reach) : start].replace(found, blank)[-AROUND:]
+    after = text[end : end + reach].replace(found, blank)[:AROUND]
+    return novelty((before + after).replace("\0", ""), found) >= least
 
 
 def _candidates(text: str) -> Iterator[tuple[int, int]]:

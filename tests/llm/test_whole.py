@@ -3,7 +3,7 @@
 import random
 import string
 
-from quarryline.llm import bpe, secrets, simhash
+from quarryline.llm import bpe, secrets, simhash, spans
 from quarryline.llm.common import tokenizer_path
 
 
@@ -36,3 +36,11 @@ def test_secrets_whole():
         text = "Authorization: Bearer " + token + " ok"
         assert secrets.find(text) == [("novel", 22, 22 + len(token))]
         assert secrets.find("bearer " + "x " * 30 + token) == []  # out of every cue's reach
+
+
+def test_secrets_repeated():
+    for n in (40, 300):
+        token = chance(n, n)
+        text = "".join(f"retry {i} bearer {token}\n" for i in range(5)) + f"bearer id={token}"
+        assert token not in spans.redacted(text, secrets.find(text)) and len(secrets.find(text)) == 6
+    assert secrets.find("access the file_name_of_the_config of the application and access the file_name_of_the_config") == []
