@@ -11,6 +11,19 @@ def share_score(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, 100).otherwise(F.bround(part / F.nullif(whole, F.lit(0)) * 100, 0)).cast("int")
 
 
+def test_scope(assets: DataFrame) -> DataFrame:
+    """What tests are asked of: dbt models if there are any, else all but sources, Airflow and Spark."""
+    any_model = assets.agg(F.coalesce(F.bool_or(F.col("asset_type") == "dbt_model"), F.lit(False)).alias("__models"))  # one row
+    other = ~F.coalesce(F.col("asset_type").isin("dbt_source", "airflow_dag", "airflow_task", "spark_job"), F.lit(False))
+    inside = F.when(F.col("__models"), F.col("asset_type") == "dbt_model").otherwise(other)
+    return assets.join(F.broadcast(any_model), F.lit(True)).where(inside).select(*assets.columns)
+
+
+def doc_scope(assets: DataFrame) -> DataFrame:
+    """What documentation is asked of: all but query blocks. tags: a map, or null."""
+    return assets.where(F.coalesce(F.try_element_at("tags", F.lit("role")), F.lit("")) != "query_block")
+
+
 def coverage(assets: DataFrame, flag: str) -> DataFrame:
     """total, covered, ratio (6 places), score."""
     n = assets.agg(F.count("*").alias("total"), F.count_if(F.col(flag)).alias("covered"))

@@ -49,6 +49,15 @@ ROW_ASSETS = "ra AS (" + " UNION ALL ".join(
     f"SELECT '{m}' || {k} AS name, '{t}' AS asset_type, CASE WHEN {k} % 5 = 0 THEN 'models/staging/' ELSE 'models/marts/' END || '{m}' || {k} || '.sql' AS file_path, {k} % 3 = 0 AS has_tests, {k} % 4 <> 0 AS has_docs, {k} AS ord FROM {f}"
     for f, k, m, t in (("customer", "c_custkey", "c", "dbt_model"), ("orders", "o_orderkey", "o", "table"), ("part", "p_partkey", "p", "view"))
 ) + ")"
+
+
+def block_assets(s, d):
+    """Numbers that 3 divides are query blocks, other even ones have other tags, and some have none."""
+    k = F.col("ord")
+    role = F.when(k % 3 == 0, F.create_map(F.lit("role"), F.lit("query_block"))).when(k % 2 == 0, F.create_map(F.lit("role"), F.lit("table"))).when(k % 5 == 0, F.create_map(F.lit("owner"), F.lit("query_block")))
+    return row_assets(s, d).withColumn("tags", role)
+
+
 DEGREES = f"{ROW_EDGES}, {ROW_ASSETS}, dg AS (SELECT name, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT source AS name, 0 AS i, 1 AS o FROM re UNION ALL SELECT target, 1, 0 FROM re UNION ALL SELECT name, 0, 0 FROM ra) GROUP BY name)"
 
 
@@ -171,6 +180,10 @@ QUERIES = {
     "doc_coverage": lambda s, d: scores.coverage(row_assets(s, d), "has_docs"),
     "missing_test_findings": lambda s, d: scores.missing_tests(row_assets(s, d), _degrees(s, d)),
     "missing_doc_findings": lambda s, d: scores.missing_docs(row_assets(s, d)),
+    "test_coverage_in_scope": lambda s, d: scores.coverage(scores.test_scope(row_assets(s, d)), "has_tests"),
+    "doc_coverage_in_scope": lambda s, d: scores.coverage(scores.doc_scope(block_assets(s, d)), "has_docs"),
+    "missing_test_findings_in_scope": lambda s, d: scores.missing_tests(scores.test_scope(row_assets(s, d)), _degrees(s, d)),
+    "missing_doc_findings_in_scope": lambda s, d: scores.missing_docs(scores.doc_scope(block_assets(s, d))),
     "contract_asset": lambda s, d: scores.best_asset(contracts(s, d), row_assets(s, d)),
     "path_owners": owners,
     "file_classify": lambda s, d: files(s, d).select("path", text.file_type(F.col("path"), F.col("content")).alias("file_type")),
@@ -213,6 +226,10 @@ ORACLES = {
     "doc_coverage": COVERAGE.format(a=ROW_ASSETS, f="has_docs"),
     "missing_test_findings": f"WITH {DEGREES}, x AS (SELECT ra.name, out_degree AS n, contains(file_path, 'staging') AS st FROM ra JOIN dg USING (name) WHERE NOT has_tests AND out_degree > 0) SELECT CASE WHEN n > 10 THEN CASE WHEN st THEN 'warning' ELSE 'critical' END WHEN st THEN 'info' ELSE 'warning' END AS severity, 'missing_test' AS category, name AS asset_name, 'No tests; ' || n || ' downstream dependent(s); staging=' || CASE WHEN st THEN 'True' ELSE 'False' END || ' (lower risk when True)' AS message FROM x",
     "missing_doc_findings": f"WITH {ROW_ASSETS} SELECT CASE WHEN asset_type = 'dbt_model' THEN 'warning' ELSE 'info' END AS severity, 'missing_documentation' AS category, name AS asset_name FROM ra WHERE NOT has_docs",
+    "test_coverage_in_scope": COVERAGE.format(a=ROW_ASSETS, f="has_tests").replace("FROM ra)", "FROM ra WHERE asset_type = 'dbt_model')"),
+    "doc_coverage_in_scope": COVERAGE.format(a=ROW_ASSETS, f="has_docs").replace("FROM ra)", "FROM ra WHERE ord % 3 <> 0)"),
+    "missing_test_findings_in_scope": f"WITH {DEGREES}, x AS (SELECT ra.name, out_degree AS n, contains(file_path, 'staging') AS st FROM ra JOIN dg USING (name) WHERE asset_type = 'dbt_model' AND NOT has_tests AND out_degree > 0) SELECT CASE WHEN n > 10 THEN CASE WHEN st THEN 'warning' ELSE 'critical' END WHEN st THEN 'info' ELSE 'warning' END AS severity, 'missing_test' AS category, name AS asset_name, 'No tests; ' || n || ' downstream dependent(s); staging=' || CASE WHEN st THEN 'True' ELSE 'False' END || ' (lower risk when True)' AS message FROM x",
+    "missing_doc_findings_in_scope": f"WITH {ROW_ASSETS} SELECT CASE WHEN asset_type = 'dbt_model' THEN 'warning' ELSE 'info' END AS severity, 'missing_documentation' AS category, name AS asset_name FROM ra WHERE NOT has_docs AND ord % 3 <> 0",
     "contract_asset": f"WITH {ROW_ASSETS}, {CONTRACTS}, h AS (SELECT dataset, name, ord, CASE WHEN dataset = name THEN 1 WHEN lower(dataset) = lower(name) THEN 2 ELSE 3 END AS tier FROM ct JOIN ra ON lower(split_part(dataset, '.', -1)) = lower(split_part(name, '.', -1))), b AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY tier, ord) AS n FROM h) SELECT ct.dataset, b.name, b.tier FROM ct LEFT JOIN b ON ct.dataset = b.dataset AND n = 1",
     "path_owners": f"WITH {ROW_ASSETS} SELECT file_path AS path, CASE WHEN regexp_matches(file_path, '/c[0-9]+[.]sql$') THEN 'customers' WHEN starts_with(file_path, 'models/staging/') THEN 'staging' ELSE 'all' END AS owners FROM ra",
     "file_classify": f"WITH {FILES} SELECT path, CASE WHEN path LIKE 'models/%' THEN 'dbt_model' WHEN path LIKE '%.sql' THEN 'sql' WHEN contains(content, 'airflow') THEN 'airflow_dag' ELSE 'spark_job' END AS file_type FROM f",
