@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.operators import graph, scores
 
+#: Parts of tags that mark intended ends.
+TERMINAL = ("exposure", "dashboard", "export")
 WEIGHT, PERCENTILE = 0.25, 0.8
 STALE_DAYS = 183
 #: Dimensions of the overall health, where higher is better.
@@ -20,11 +26,19 @@ def is_dag(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame([(bool(graph.levels(edges)[1]),)], "is_dag boolean")
 
 
-def dead_findings(assets: DataFrame, edges: DataFrame, columns: DataFrame) -> DataFrame:
-    """A finding for each dead end. columns(name, n_columns): a node costs 1 more
-    than its columns, and a dead end wastes its own cost and that of all before it."""
+def terminal(tags: Column, markers: Collection[str]) -> Column:
+    """Whether a marker is part of any key or value."""
+    hit = lambda x: F.coalesce(reduce(or_, (F.contains(F.lower(x), F.lit(m)) for m in markers), F.lit(False)), F.lit(False))
+    return F.coalesce(F.exists(F.map_entries(tags), lambda e: hit(e["key"]) | hit(e["value"])), F.lit(False))
+
+
+def dead_findings(assets: DataFrame, edges: DataFrame, columns: DataFrame, markers: Collection[str] = TERMINAL, whitelist: Collection[str] = ()) -> DataFrame:
+    """A finding for each dead end that is an asset, isn't on the whitelist and has no terminal tag (``tags``, a
+    map, where assets have it). columns(name, n_columns): a node costs 1 more than its columns, and a dead end
+    wastes its own cost and that of all before it."""
     degrees = graph.degrees(assets, edges)
-    dead = graph.dead_ends(degrees)
+    asked = assets.where(~terminal(F.col("tags"), markers)) if "tags" in assets.columns else assets
+    dead = graph.dead_ends(degrees).join(asked.select("name"), "name", "left_semi").where(~F.col("name").isin(*whitelist))
     back = graph.closure(edges.select(F.col("target").alias("source"), F.col("source").alias("target")), dead)
     chain = back.select("start", "reached").unionByName(dead.select(F.col("name").alias("start"), F.col("name").alias("reached"))).distinct()
     cost = chain.join(columns.select(F.col("name").alias("reached"), "n_columns"), "reached", "left")
@@ -34,6 +48,14 @@ def dead_findings(assets: DataFrame, edges: DataFrame, columns: DataFrame) -> Da
     return rows.select(scores.dead_severity(F.col("waste"), F.col("feeders")).alias("severity"), F.lit("dead_asset").alias("category"), F.col("name").alias("asset_name"), text.alias("message"))
 
 
+def dead_score(assets: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row: score, 100 without assets."""
+    n = assets.agg(F.count("*").alias("total"))
+    dead = findings.agg(F.count("*").alias("dead"))
+    share = F.bround(F.col("dead") / F.nullif(F.col("total"), F.lit(0)) * 100, 0)
+    return n.join(F.broadcast(dead), F.lit(True)).select(F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), 100 - share)), F.lit(100)).cast("int").alias("score"))
+
+
 def complexity(assets: DataFrame, edges: DataFrame, sql_counts: DataFrame) -> DataFrame:
     """name, four shares of the largest (0 to 100), and combined (not rounded). sql_counts(name, sql)."""
     degrees = graph.degrees(assets, edges).select("name", F.col("out_degree").alias("fanout"), F.col("in_degree").alias("fanin"))

@@ -1,4 +1,4 @@
-from quarryline.operators import scores
+from quarryline.operators import impact, scores
 
 
 def test_scopes(spark):
@@ -9,3 +9,15 @@ def test_scopes(spark):
     assert names(scores.test_scope(assets.where("name <> 'm'"))) == ["v"]
     assert names(scores.test_scope(assets.limit(0))) == []
     assert names(scores.doc_scope(assets)) == ["d", "j", "m", "t", "v"]
+
+
+def test_dead_findings_leave_out(spark):
+    tags = {"plain": {"team": "x"}, "none": None, "shown": {"kind": "Main_Dashboard"}, "sent": {"EXPORTED": None}, "listed": {}, "up": {}}
+    assets = spark.createDataFrame(list(tags.items()), "name string, tags map<string,string>")
+    edges = spark.createDataFrame([("up", x) for x in [*tags, "outside"] if x != "up"], "source string, target string")
+    columns = spark.createDataFrame([("up", 2)], "name string, n_columns int")
+    found = lambda *x, **y: sorted(r.asset_name for r in impact.dead_findings(assets, edges, columns, *x, **y).collect())
+    assert found(whitelist=["listed"]) == ["none", "plain"]
+    assert found(markers=()) == ["listed", "none", "plain", "sent", "shown"]
+    assert [r.score for r in impact.dead_score(assets, impact.dead_findings(assets, edges, columns)).collect()] == [50]
+    assert [r.score for r in impact.dead_score(assets.limit(0), columns.limit(0)).collect()] == [100]
