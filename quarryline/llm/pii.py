@@ -28,8 +28,18 @@ LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 RUN = re.compile(r"[0-9]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 PHONE = re.compile(r"[0-9][ ().0-9-]++")
-CREDENTIALS = re.compile(r"://[^\s/@:]{1,64}:[^\s/@]{1,128}@[A-Za-z0-9.-]++")
+CREDENTIALS = re.compile(r"://[^\s/@:]++:[^\s/@]++@[A-Za-z0-9.-]++")
 IBAN = re.compile(r"[ :#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+#: Countries and the lengths of their IBANs.
+LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 "
+        "GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 "
+        "MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 "
+        "TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 SSN = re.compile(r"[ :#]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 
 
@@ -79,6 +89,18 @@ def _valid_iban(found: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+@lru_cache(None)
+def _iban_of(length: int) -> re.Pattern:
+    return re.compile(rf"[ :#]{{0,3}}([A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{length - 4}}})(?![A-Za-z0-9])")
+
+
+def _iban(text: str, at: int) -> re.Match | None:
+    """Of the country's length, so that words after it don't count; else as far as it goes."""
+    country = re.compile(r"[ :#]{0,3}([A-Z]{2})").match(text, at)
+    patterns = [_iban_of(LENGTHS[country[1]])] if country and country[1] in LENGTHS else []
+    return next((m for p in [*patterns, IBAN] if (m := p.match(text, at)) and _valid_iban(m[1])), None)
+
+
 def find(text: str) -> list[Span]:
     out = _numbers(text)
     mail = phone = 0  # ends of the last matches of these kinds
@@ -103,7 +125,7 @@ def find(text: str) -> list[Span]:
                 while start > 0 and last - start < 20 and text[start - 1] in string.ascii_letters:
                     start -= 1
                 out.append(("url", start, m.end()))
-        elif (m := (IBAN if kind == "iban" else SSN).match(text, last + 1)) and (kind == "ssn" or _valid_iban(m[1])):
+        elif m := _iban(text, last + 1) if kind == "iban" else SSN.match(text, last + 1):
             out.append((kind, *m.span(1)))
     return out
 

@@ -3,7 +3,7 @@
 import random
 import string
 
-from quarryline.llm import bpe, secrets, simhash, spans
+from quarryline.llm import bpe, pii, secrets, simhash, spans
 from quarryline.llm.common import tokenizer_path
 
 
@@ -44,3 +44,13 @@ def test_secrets_repeated():
         text = "".join(f"retry {i} bearer {token}\n" for i in range(5)) + f"bearer id={token}"
         assert token not in spans.redacted(text, secrets.find(text)) and len(secrets.find(text)) == 6
     assert secrets.find("access the file_name_of_the_config of the application and access the file_name_of_the_config") == []
+
+
+def test_pii_long_passwords_and_ibans_before_words():
+    for user, password in (("u", "p" * 129), ("u" * 65, "p"), ("u" * 5000, "p" * 5000)):
+        url = f"https://{user}:{password}@db.example"
+        assert [x for x in pii.find(f"see {url} now") if x[0] == "url"] == [("url", 4, 4 + len(url))]
+    for iban in ("DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947"):
+        for after in ("", " BIC COBADEFF", " and", " A B C", ", X"):
+            assert [x for x in pii.find(f"IBAN: {iban}{after}") if x[0] == "iban"] == [("iban", 6, 6 + len(iban))]
+    assert pii.find("IBAN: DE89 3704 0044 0532 0130 01 BIC") == []
