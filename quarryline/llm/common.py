@@ -6,7 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +76,26 @@ def arrow_schema(spec: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in parts])
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], spec: str) -> DataFrame:
+#: Bytes of an Arrow batch: a worker holds a batch, copies of it and what comes of it, so Spark's own 64 MB are too many.
+BATCH_BYTES, SPARKS_OWN = "4m", str(64 << 20) + "b"
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], spec: str | T.StructType) -> DataFrame:
+    """mapInArrow in batches of BATCH_BYTES, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, SPARKS_OWN) == SPARKS_OWN:
+        df.sparkSession.conf.set(key, BATCH_BYTES)
     return df.mapInArrow(f, spec)
 
 
+def free_name(taken: Collection[str], name: str) -> str:
+    """A column name that no column has, in any case."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """Texts of a binary column; null counts as empty."""
     return [x or b"" for x in column.to_pylist()]
@@ -110,30 +127,6 @@ def crc_mod(column: str, by: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(by))
 
 
-def ddl(name: str, kind: T.DataType) -> str:
-    return f"{name} {kind.simpleString()}"
-
-
-class Powers:
-    """Tables of the powers of an odd number and of its inverse modulo 2^64."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = Powers(0x9E3779B97F4A7C15)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
@@ -142,15 +135,45 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each codes[start:end], from prefix sums of a polynomial."""
-    up, down = _POWERS.upto(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, np.uint64)
+BASE = 0x9E3779B97F4A7C15
+#: Codes hashed together; longer spans are hashed piece by piece.
+PIECE = 1 << 18
+
+
+@lru_cache(1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        steps = np.full(PIECE + 1, base, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
+def _sums(codes: np.ndarray) -> np.ndarray:
     terms = codes.astype(np.uint64)
     terms += np.uint64(1)
-    terms *= up[:-1]
-    np.cumsum(terms, out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    terms *= powers()[0][: len(codes)]
+    return np.append(np.uint64(0), np.cumsum(terms))
+
+
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each codes[start:end], from prefix sums of a polynomial. Spans ascend and don't overlap."""
+    out, a, down = np.empty(len(starts), np.uint64), 0, powers()[1]
+    while a < len(starts):
+        low = int(starts[a])
+        b = int(np.searchsorted(ends, low + PIECE, "right"))
+        if b > a:
+            sums, s, e = _sums(codes[low : int(ends[b - 1])]), starts[a:b] - low, ends[a:b] - low
+            out[a:b] = (sums[e] - sums[s]) * down[s]
+        else:
+            b, total = a + 1, 0
+            for i in range(low, int(ends[a]), PIECE):
+                total += int(_sums(codes[i : min(i + PIECE, int(ends[a]))])[-1]) * pow(BASE, i - low, 1 << 64)
+            out[a] = total % (1 << 64)
+        a = b
+    return mixed(out + (ends - starts).astype(np.uint64))
 
 
 #: Bytes of words: digits, letters (lower-cased), and all of non-ASCII characters; others are 0.
@@ -161,10 +184,10 @@ WORD_BYTES[65:91] = np.arange(97, 123)
 WORD_BYTES[128:] = np.arange(128, 256)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of all texts, and the number of words of each text."""
+def word_hashes(texts: list[bytes], table: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of all texts, and the number of words of each text. table: what each byte counts as, 0 if no word has it."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    codes = WORD_BYTES[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
+    codes = table[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
     edges = np.flatnonzero(np.diff((codes > 0).view(np.int8), prepend=np.int8(0)))
     starts, ends = edges[0::2], edges[1::2]  # a line feed is at the end, so each word has an end
     upto = np.searchsorted(starts, np.cumsum(sizes + 1))

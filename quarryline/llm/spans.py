@@ -55,4 +55,4 @@ def _redact(batches: Iterator[pa.RecordBatch], find: Callable[[str], list[Span]]
 
 def redact(documents: DataFrame, find: Callable[[str], list[Span]]) -> DataFrame:
     """All documents and columns; texts without spans stay as they are."""
-    return documents.mapInArrow(partial(_redact, find=find), documents.schema)
+    return map_arrow(documents, partial(_redact, find=find), documents.schema)

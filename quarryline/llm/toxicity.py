@@ -1,228 +1,298 @@
 """Operator 6, toxicity by class-conditional Kneser-Ney models.
 
-Word pairs of all labelled training documents are counted for each class. A class's
-model backs off from pairs to words by absolute discounting, and from words to
-continuation counts (in how many contexts a word occurs) that both classes share,
-so rare words tell the classes apart only as far as they were seen. Words are
-hashed into tables of fixed size, which bounds the broadcast model; counts cover
-every training row. A document's features are its log-likelihood ratio for each
-word over its length (whole model) and over the root of its length (words alone), and
-the largest ratios; a logistic curve fitted
-on at most CALIBRATE training rows, each scored without its own counts, makes them
-a score.
-
-Defined results: a text without words (null too) scores as features of zero do.
+A word's count in a class is its continuation count: before how many distinct words
+it is seen there, so copies of a text add nothing. A class's model discounts these
+counts by DISCOUNT and gives BACKOFF of its mass to continuation counts that both
+classes share; a rare word, whose counts the discount takes up, is as likely in both.
+Counts are exact, over all labelled training documents, of 64-bit hashes of words. A
+document's log-likelihoods, toxic and ordinary, are normalised by length passage by
+passage (PASSAGE words, or all of a shorter text); its score is the difference in
+the passage where it is largest, made a probability by one rising logistic curve.
+The curve is fitted on about CALIBRATE training documents in FOLDS folds, each scored
+by counts that leave its fold out.
+
+The words whose counts outlast the discount are sent to executors, up to BLOCK of
+them (the commonest, 12 bytes each); the other words of a larger model meet the
+words of documents in a shuffle join, so nothing is left out.
+
+Defined results: a text without words (null too) scores as a difference of zero does.
 Repeated rows each give a row; a doc_id with several labels is toxic if one says
-so. Without rows of both classes every score is the share of toxic labels, or 0."""
+so. Without rows of both classes every score is the share of toxic labels, or 0.
+Null doc_ids have no labels. Other columns are kept by ``keep_ordinary`` as they are."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarryline.llm.common import arrow_schema, as_binary, crc_mod, map_arrow, materialize, runs, text_bytes, word_hashes
+from quarryline.llm.common import arrow_schema, as_binary, crc_mod, free_name, map_arrow, materialize, mixed, runs, text_bytes, word_hashes
 
-WORD_BITS, PAIR_BITS = 20, 21
+DISCOUNT, BACKOFF, PASSAGE = 3, 0.1, 2
+BLOCK = 2_000_000
 BROADCAST_LABELS = 2_000_000
-CALIBRATE = 20_000
-#: Bytes of text counted together, and hashed together (hashing takes some 40 times its text).
-COUNT_BYTES, HASH_BYTES = 16_000_000, 2_000_000
-DISCOUNT = 0.75
-FEATURES = 5
-TABLES = {"u": (2, 1 << WORD_BITS), "b": (2, 1 << PAIR_BITS), "t": (2, 1 << WORD_BITS), "k": (2, 1 << WORD_BITS), "shared": (1 << WORD_BITS,)}
-FEATURE_ROWS = "f0 double, f1 double, f2 double, f3 double, f4 double, toxic int"
+CALIBRATE, FOLDS = 20_000, 4
+#: Bytes of text whose pairs are reduced together, and hashed together (hashing takes some 40 times its text).
+COUNT_BYTES, HASH_BYTES = 8_000_000, 1_000_000
 THRESHOLD = 0.7
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, the words before them (a fixed number at a text's start), and which text each is of."""
-    hashes, counts = word_hashes(texts)
-    word = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+def pairs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, hash of it with the word before it (of itself alone at a text's start), and which text it is of."""
+    word, counts = word_hashes(texts)
     before = np.roll(word, 1)
-    starts = (np.cumsum(counts) - counts)[counts > 0]
-    before[starts] = 0
-    return word, before, np.repeat(np.arange(len(texts)), counts)
+    before[(np.cumsum(counts) - counts)[counts > 0]] = 0
+    return word, mixed(word * np.uint64(0x9E3779B97F4A7C15) ^ before), np.repeat(np.arange(len(texts)), counts)
 
 
-def pair_bucket(word: np.ndarray, before: np.ndarray) -> np.ndarray:
-    return (word * 40503 + before * 2654435761) % (1 << PAIR_BITS)
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs of some texts, with the bits of all classes and folds that hold them."""
+    schema = arrow_schema("word long, pair long, seen int")
+    words, pairs, marks, held = [], [], [], 0
 
+    def reduced() -> pa.RecordBatch:
+        pair, first, back = np.unique(np.concatenate(pairs), return_index=True, return_inverse=True)
+        seen = np.zeros(len(pair), np.int32)
+        np.bitwise_or.at(seen, back, np.concatenate(marks))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(words)[first].view(np.int64)), pa.array(pair.view(np.int64)), pa.array(seen)], schema=schema)
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = arrow_schema("word long, before long, c0 long, c1 long")
     for batch in batches:
-        texts, labels = text_bytes(batch.column(1)), batch.column(2).to_numpy()
+        texts, bits = text_bytes(batch.column(0)), batch.column(1).to_numpy().astype(np.int32)
         sizes = [len(x) for x in texts]
-        for a, b in runs(sizes, COUNT_BYTES):
-            pairs, marks = [], []
-            for c, d in runs(sizes[a:b], HASH_BYTES):
-                word, before, of = tokens(texts[a + c : a + d])
-                pairs.append(word << WORD_BITS | before)
-                marks.append(labels[a + c : a + d][of])
-            keys, back = np.unique(np.concatenate(pairs), return_inverse=True)
-            if len(keys):
-                toxic = np.bincount(back, np.concatenate(marks), len(keys)).astype(np.int64)
-                n = np.bincount(back, minlength=len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys >> WORD_BITS, keys & (1 << WORD_BITS) - 1, n - toxic, toxic)], schema=schema)
-
-
-def _table(df: DataFrame, size: int) -> list[np.ndarray]:
-    """Columns after the first as arrays indexed by it; df has at most ``size`` rows."""
-    found = df.toArrow()
-    out = []
-    for c in found.columns[1:]:
-        out.append(np.zeros(size, np.float32))
-        out[-1][found.columns[0].to_numpy()] = c.to_numpy()
-    return out
+        for a, b in runs(sizes, HASH_BYTES):
+            word, pair, of = pairs_of(texts[a:b])
+            words.append(word)
+            pairs.append(pair)
+            marks.append(bits[a:b][of])
+            held += sum(sizes[a:b])
+            if held >= COUNT_BYTES:
+                yield reduced()
+                words, pairs, marks, held = [], [], [], 0
+    if pairs:
+        yield reduced()
 
 
-def train(labelled: DataFrame) -> dict[str, np.ndarray]:
-    """labelled: doc_id, text (binary), toxic (0 or 1)."""
-    raw = map_arrow(labelled.select("doc_id", "text", "toxic"), _count, "word long, before long, c0 long, c1 long")
-    pairs = materialize(raw.groupBy("word", "before").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "word-pairs")
-    u0, u1, contexts = _table(pairs.groupBy("word").agg(F.sum("c0"), F.sum("c1"), F.count("*")), 1 << WORD_BITS)
-    bucket = F.expr(f"pmod(word * 40503 + before * 2654435761, {1 << PAIR_BITS})")
-    b0, b1 = _table(pairs.groupBy(bucket.alias("b")).agg(F.sum("c0"), F.sum("c1")), 1 << PAIR_BITS)
-    t0, t1, k0, k1 = _table(pairs.groupBy("before").agg(F.sum("c0"), F.sum("c1"), F.count_if(F.col("c0") > 0), F.count_if(F.col("c1") > 0)), 1 << WORD_BITS)
-    shared = (contexts + 0.5) / (contexts.sum() + 0.5 * len(contexts))
-    return {"u": np.stack([u0, u1]), "b": np.stack([b0, b1]), "t": np.stack([t0, t1]), "k": np.stack([k0, k1]), "shared": shared.astype(np.float32)}
-
-
-def ratios(model: dict, word: np.ndarray, before: np.ndarray, of: np.ndarray, label: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihood ratio of each word, by the whole model and without the word
-    before. label: the documents' own counts are left out of that class."""
-    pair, logs, plain = pair_bucket(word, before), [], []
-    if label is not None:
-        own = [np.unique(of << 22 | x, return_inverse=True, return_counts=True) for x in (word, pair, before)]
-        own = [n[back] for _, back, n in own]
-    for c in (0, 1):
-        u, b, t = model["u"][c][word].astype(float), model["b"][c][pair].astype(float), model["t"][c][before].astype(float)
-        if label is not None:
-            mine = label[of] == c
-            u, b, t = (np.maximum(x - n * mine, 0) for x, n in zip((u, b, t), own, strict=True))
-        total, types = max(float(model["u"][c].sum()), 1.0), float(np.count_nonzero(model["u"][c]))
-        back = min(1.0, DISCOUNT * types / total)
-        p = np.maximum(u - DISCOUNT, 0) / total + back * model["shared"][word]
-        plain.append(np.log(p + 1e-30))
-        weight = np.where(t > 0, np.minimum(1.0, DISCOUNT * np.maximum(model["k"][c][before], 1) / np.maximum(t, 1)), 1.0)
-        logs.append(np.log(np.where(t > 0, np.maximum(np.minimum(b, t) - DISCOUNT, 0) / np.maximum(t, 1) + weight * p, p) + 1e-30))
-    return logs[1] - logs[0], plain[1] - plain[0]
-
-
-def features(model: dict, texts: list[bytes], label: np.ndarray | None = None) -> np.ndarray:
-    word, before, of = tokens(texts)
-    out = np.zeros((len(texts), FEATURES))
-    if not len(word):
-        return out
-    full, plain = ratios(model, word, before, of, label)
-    n = np.bincount(of, minlength=len(texts))
-    out[:, 0] = np.bincount(of, full, len(texts)) / np.maximum(n, 1)
-    out[:, 1] = np.bincount(of, plain, len(texts)) / np.sqrt(np.maximum(n, 1))
-    order = np.lexsort((-plain, of))
-    starts = np.cumsum(n) - n
-    for i in (0, 1):
-        has = n > i
-        out[has, 2 + i] = plain[order[starts[has] + i]]
-    # what the strongest expressions say beyond what rare words reach by chance
-    out[:, 4] = np.bincount(of, np.maximum(plain - 4, 0), len(texts)) > 0
-    return out
+def mask(label: int, without: int | None = None) -> int:
+    """Bits of a class, in all folds but one; the last bits are of the rows in no fold."""
+    return sum(1 << 2 * f + label for f in range(FOLDS + 1) if f != without)
 
 
-class Fitted(NamedTuple):
-    """share: of toxic labels. counts: the packed tables, sent once. curve: what makes
-    features a score; without it every score is the share."""
+def count_name(label: int, without: int | None = None) -> str:
+    return f"n{label}" + ("" if without is None else f"_{without}")
 
-    share: float
-    counts: Broadcast | None = None
-    curve: dict[str, np.ndarray] | None = None
 
+COUNTS = [(label, without) for without in (None, *range(FOLDS)) for label in (0, 1)]
 
-def packed(model: dict[str, np.ndarray]) -> dict[str, bytes]:
-    """The tables compressed: executors keep a broadcast on disk, and most cells are zero."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-    return {name: pack(np.ascontiguousarray(model[name], np.float32).tobytes()) for name in TABLES}
 
+def count(labelled: DataFrame) -> DataFrame:
+    """labelled: text (binary), toxic (0 or 1), fold. Per word: word, n (words before it, of both classes),
+    n0 and n1 (of each class), and n0_f, n1_f (without fold f)."""
+    bits = F.expr("shiftleft(1, cast(2 * fold + toxic as int))")
+    raw = map_arrow(labelled.select("text", bits.alias("seen")), _pairs, "word long, pair long, seen int")
+    pairs = raw.groupBy("word", "pair").agg(F.bit_or("seen").alias("seen"))
+    each = [F.count_if(F.col("seen").bitwiseAND(mask(*x)) != 0).alias(count_name(*x)) for x in COUNTS]
+    return materialize(pairs.groupBy("word").agg(F.count("*").alias("n"), *each), "word-counts")
 
-@lru_cache(1)
-def _unpacked(counts: Broadcast) -> dict[str, np.ndarray]:
-    unpack = zstandard.ZstdDecompressor().decompress
-    return {name: np.frombuffer(unpack(counts.value[name]), np.float32).reshape(shape) for name, shape in TABLES.items()}
 
+def ratios(counts: DataFrame) -> DataFrame:
+    """word, n, and the log of toxic over ordinary likelihood by all counts (ratio) and without each fold (ratio_f)."""
+    left = lambda x: F.greatest(F.col(count_name(*x)) - DISCOUNT, F.lit(0))
+    totals = counts.agg(F.sum("n").alias("all"), F.count("*").alias("types"), *(F.sum(left(x)).alias(f"sum_{count_name(*x)}") for x in COUNTS)).head()
+    shared = (F.col("n") + 0.5) / F.lit(float((totals["all"] or 0) + 0.5 * totals["types"]))
 
-def _features(batches: Iterator[pa.RecordBatch], counts: Broadcast) -> Iterator[pa.RecordBatch]:
-    schema, model = arrow_schema(FEATURE_ROWS), _unpacked(counts)
-    for batch in batches:
-        texts, label = text_bytes(batch.column(1)), batch.column(2).to_numpy()
-        for a, b in runs([len(x) for x in texts], 2_000_000):
-            found = features(model, texts[a:b], label[a:b])
-            yield pa.RecordBatch.from_arrays([*(pa.array(found[:, i]) for i in range(FEATURES)), batch.column(2).slice(a, b - a)], schema=schema)
+    def likelihood(label: int, without: int | None) -> Column:
+        return (1 - BACKOFF) * left((label, without)) / F.lit(float(max(totals[f"sum_{count_name(label, without)}"] or 0, 1))) + BACKOFF * shared
+
+    one = lambda f: F.log(likelihood(1, f) / likelihood(0, f)).cast("float").alias("ratio" if f is None else f"ratio_{f}")
+    known = counts.where(F.greatest("n0", "n1") > DISCOUNT)  # without a fold there is no more left
+    return known.select("word", "n", *map(one, (None, *range(FOLDS))))
+
+
+class Fitted(NamedTuple):
+    """share: of toxic labels. words: hashes, sorted, and the ratio of each. rest: the ratios of a larger
+    model's other words. curve: slope and height; without it every score is the share."""
+
+    share: float
+    words: Broadcast | None = None
+    rest: DataFrame | None = None
+    curve: tuple[float, float] | None = None
+
+
+def look_up(known: tuple[np.ndarray, np.ndarray], word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ratio of each word, 0 for unknown ones, and which words are known."""
+    keys, values = known
+    if not len(keys):
+        return np.zeros(len(word), np.float32), np.zeros(len(word), bool)
+    at = np.minimum(np.searchsorted(keys, word), len(keys) - 1)
+    found = keys[at] == word
+    return np.where(found, values[at], np.float32(0)), found
+
+
+def largest(ratio: np.ndarray, counts: np.ndarray, passage: int = PASSAGE) -> np.ndarray:
+    """Per text the largest mean ratio of its passages of ``passage`` words (or all words of a shorter text), 0 without words."""
+    ends = np.cumsum(counts)
+    sums = np.append(0.0, np.cumsum(ratio, dtype=np.float64))
+    out = np.zeros(len(counts))
+    short = (counts > 0) & (counts < passage)
+    out[short] = (sums[ends] - sums[ends - counts])[short] / counts[short]
+    long = np.flatnonzero(counts >= passage)
+    if len(long):
+        n = counts[long] - passage + 1
+        first = np.cumsum(n) - n
+        start = np.repeat((ends - counts)[long] - first, n) + np.arange(int(n.sum()))
+        out[long] = np.maximum.reduceat(sums[start + passage] - sums[start], first) / passage
+    return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+def differences(texts: list[bytes], known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(texts))
+    for a, b in runs([len(x) for x in texts], HASH_BYTES):
+        word, counts = word_hashes(texts[a:b])
+        out[a:b] = largest(look_up(known, word)[0], counts)
+    return out
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope (never falling) and height."""
+    middle, spread, w = x.mean(), x.std() + 1e-9, np.zeros(2)
     z = np.column_stack([(x - middle) / spread, np.ones(len(x))])
-    w = np.zeros(z.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.eye(len(w)), z.T @ (y - p) - w)
-        w += np.clip(step, -4, 4)
-    return {"middle": middle, "spread": spread, "w": w}
-
-
-def scores(texts: list[bytes], fitted: Fitted) -> np.ndarray:
-    out = np.full(len(texts), float(fitted.share))
-    if fitted.curve is not None:
-        model, curve = _unpacked(fitted.counts), fitted.curve
-        for a, b in runs([len(x) for x in texts], 2_000_000):
-            z = (features(model, texts[a:b]) - curve["middle"]) / curve["spread"]
-            out[a:b] = 1 / (1 + np.exp(-np.clip(z @ curve["w"][:-1] + curve["w"][-1], -30, 30)))
-    return out
+        w += np.clip(np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + 0.1 * np.eye(2), z.T @ (y - p) - 0.1 * w), -4, 4)
+    slope = max(0.0, w[0] / spread)
+    return float(slope), float(w[1] - slope * middle)
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> Fitted:
+def curved(x: np.ndarray, fitted: Fitted) -> np.ndarray:
+    if fitted.curve is None:
+        return np.full(len(x), float(fitted.share))
+    return 1 / (1 + np.exp(-np.clip(x * fitted.curve[0] + fitted.curve[1], -30, 30)))
+
+
+def _by_fold(batches: Iterator[pa.RecordBatch], known: Broadcast) -> Iterator[pa.RecordBatch]:
+    keys, *by_fold = known.value
+    for batch in batches:
+        texts, fold, out = text_bytes(batch.column(0)), batch.column(1).to_numpy(), np.zeros(batch.num_rows)
+        for f in np.unique(fold).tolist():
+            at = np.flatnonzero(fold == f)
+            out[at] = differences([texts[i] for i in at], (keys, by_fold[f]))
+        yield pa.RecordBatch.from_arrays([pa.array(out), batch.column(2)], schema=arrow_schema("x double, toxic int"))
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = text_bytes(batch.column(0))
+        for a, b in runs([len(x) for x in texts], HASH_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(word_hashes(texts[a:b])[0]).view(np.int64))], names=["word"])
+
+
+def _sorted(table: DataFrame) -> tuple[np.ndarray, ...]:
+    """Columns of a bounded table, the first as sorted unsigned numbers."""
+    first, *others = (c.to_numpy() for c in table.toArrow().columns)
+    order = np.argsort(first.view(np.uint64))
+    return first.view(np.uint64)[order], *(x[order] for x in others)
+
+
+def fit(documents: DataFrame, labels: DataFrame, block: int = BLOCK) -> Fitted:
+    spark = documents.sparkSession
     known = labels.where("toxic is not null and doc_id is not null").where(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.sum("toxic")).head()
     share = toxic / n if n else 0.0
     if not n or not toxic or toxic == n:
         return Fitted(share)
-    texts = documents.select("doc_id", as_binary())
-    labelled = texts.join(F.broadcast(known) if n <= BROADCAST_LABELS else known, "doc_id").select("doc_id", "text", "toxic")
-    counts = documents.sparkSession.sparkContext.broadcast(packed(train(labelled)))
-    part = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * CALIBRATE // n + 1))
-    found = map_arrow(part, partial(_features, counts=counts), FEATURE_ROWS).limit(2 * CALIBRATE).toArrow()
+    each = max(1, min(1_000_000 // FOLDS, 1_000_000 * CALIBRATE // FOLDS // n))
+    fold = F.least(F.lit(FOLDS), F.floor(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / each)).cast("int").alias("fold")
+    labelled = documents.select("doc_id", as_binary()).join(F.broadcast(known) if n <= BROADCAST_LABELS else known, "doc_id").select("text", "toxic", fold)
+    model = materialize(ratios(count(labelled)), "word-ratios")
+    size = model.count()
+    kept = model if size <= block else model.orderBy(F.desc("n"), "word").limit(block)
+    sample = labelled.where(F.col("fold") < FOLDS).select("text", "fold", "toxic")
+    asked = map_arrow(sample.select("text"), _words, "word long").distinct()  # as many as the sample's texts have
+    sent = spark.sparkContext.broadcast(_sorted(model.drop("n", "ratio").join(asked, "word", "left_semi")))
+    found = map_arrow(sample, partial(_by_fold, known=sent), "x double, toxic int").toArrow()
+    sent.destroy()
     if not found.num_rows:
         return Fitted(share)
-    x = np.column_stack([c.to_numpy() for c in found.columns[:FEATURES]])
-    return Fitted(share, counts, logistic(x, found.columns[FEATURES].to_numpy()))
+    curve = logistic(found.column(0).to_numpy(), found.column(1).to_numpy())
+    rest = None
+    if size > block:
+        least = kept.agg(F.min(F.struct("n", (-F.col("word")).alias("w"))).alias("x")).head().x
+        rest = model.where((F.col("n") < least.n) | ((F.col("n") == least.n) & (F.col("word") > -least.w))).select("word", "ratio")
+    return Fitted(share, spark.sparkContext.broadcast(_sorted(kept.select("word", "ratio"))), rest, curve)
 
 
-def _score(batches: Iterator[pa.RecordBatch], fitted: Fitted, threshold: float) -> Iterator[pa.RecordBatch]:
-    schema = arrow_schema("doc_id long, held_out boolean, score double, predicted int")
+def _scored(batches: Iterator[pa.RecordBatch], fitted: Fitted, name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        score = scores(text_bytes(batch.column(1)), fitted)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
+        texts = text_bytes(batch.column(batch.schema.get_field_index("text")).cast(pa.binary()))
+        x = np.zeros(len(texts)) if fitted.curve is None else differences(texts, fitted.words.value)
+        yield batch.append_column(name, pa.array(curved(x, fitted)))
 
 
-def score(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    fitted = fit(documents, labels)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), as_binary(), (crc_mod("doc_id", 3) == 1).alias("held_out"))
-    return map_arrow(rows, partial(_score, fitted=fitted, threshold=threshold), "doc_id long, held_out boolean, score double, predicted int")
+def _spread(batches: Iterator[pa.RecordBatch], fitted: Fitted) -> Iterator[pa.RecordBatch]:
+    """Per document its known ratios, and the places and words that the sent part of the model lacks."""
+    for batch in batches:
+        texts, rows = text_bytes(batch.column(1)), batch.column(0)
+        for a, b in runs([len(x) for x in texts], HASH_BYTES):
+            word, counts = word_hashes(texts[a:b])
+            ratio, found = look_up(fitted.words.value, word)
+            for i, end, n in zip(range(a, b), np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+                odd = np.flatnonzero(~found[end - n : end])
+                yield pa.RecordBatch.from_arrays(
+                    [rows.slice(i, 1), pa.array([ratio[end - n : end].tobytes()], pa.binary()), pa.array([odd.astype(np.int64)], pa.list_(pa.int64())), pa.array([word[end - n : end][odd].view(np.int64)], pa.list_(pa.int64()))],
+                    names=["row", "ratios", "places", "words"],
+                )
 
 
-def _keep(batches: Iterator[pa.RecordBatch], fitted: Fitted, threshold: float) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch], fitted: Fitted) -> Iterator[pa.RecordBatch]:
+    """Rows of a document follow one another, its known ratios first."""
+    schema, now, ratio = arrow_schema("row long, score double"), None, None
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array(curved(largest(ratio, np.array([len(ratio)])), fitted))], schema=schema)
+
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
-        yield batch.filter(pa.array(scores(text_bytes(texts), fitted) < threshold))
+        for row, place, ratios_, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if place < 0:
+                if ratio is not None:
+                    yield done()
+                now, ratio = row, np.frombuffer(ratios_, np.float32).copy()
+            else:
+                ratio[place] = value
+    if ratio is not None:
+        yield done()
+
+
+def with_score(documents: DataFrame, fitted: Fitted, name: str) -> DataFrame:
+    """documents with a column of scores."""
+    schema = T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())])
+    if fitted.rest is None:
+        return map_arrow(documents, partial(_scored, fitted=fitted, name=name), schema)
+    number = free_name(documents.columns, "row")
+    marked = materialize(documents.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    sent = fitted._replace(rest=None)
+    found = materialize(map_arrow(marked.select(number, as_binary()), partial(_spread, fitted=sent), "row long, ratios binary, places array<long>, words array<long>"), "known-ratios")
+    odd = found.select("row", F.explode(F.arrays_zip("places", "words")).alias("x")).select("row", F.col("x.places").alias("place"), F.col("x.words").alias("word"))
+    late = odd.join(fitted.rest, "word").select("row", "place", F.lit(None).cast("binary").alias("ratios"), "ratio")
+    first = found.select("row", F.lit(-1).cast("long").alias("place"), "ratios", F.lit(0).cast("float").alias("ratio"))
+    ordered = first.unionByName(late).repartition("row").sortWithinPartitions("row", "place")
+    scored = map_arrow(ordered, partial(_gathered, fitted=sent), "row long, score double").select(F.col("row").alias(number), F.col("score").alias(name))
+    return marked.join(scored, number).select(*documents.columns, name)
+
+
+def score(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    fitted = fit(documents, labels, block)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), as_binary(), (crc_mod("doc_id", 3) == 1).alias("held_out"))
+    return with_score(rows, fitted, "score").select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_ordinary(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that aren't predicted toxic, with all their columns."""
-    return documents.mapInArrow(partial(_keep, fitted=fit(documents, labels), threshold=threshold), documents.schema)
+    name = free_name(documents.columns, "score")
+    return with_score(documents, fit(documents, labels), name).where(F.col(name) < threshold).drop(name)
