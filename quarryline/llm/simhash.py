@@ -5,14 +5,25 @@ Two fingerprints within 3 bits agree up to 1 bit in one of their halves. So ther
 is a tree for each half: its nodes hold a vantage point (a half) and a radius,
 fitted on a bounded sample, and send a fingerprint to the inside or the outside by
 its Hamming distance; one within 1 bit of the boundary visits both (the triangle
-bound prunes the other side else). Each leaf is a shard, in which smaller trees
-go on until all pairs of a leaf are compared, in blocks. A shard gives a spanning
-forest of its links, so no link between different fingerprints is lost and no
-group's pairs are listed. Components come from star contractions.
+bound prunes the other side else). Each leaf is a shard. In a shard fingerprints are
+grouped by their half, a group meets the groups whose halves differ in a bit, and
+the other halves decide; what is linked already isn't compared again, so a shard of
+any size takes about linear time. A shard gives a spanning forest, so no link between
+different fingerprints is lost and no group's pairs are listed. Components come from
+star contractions.
+
+``keep_one`` takes away near-duplicates by five-word shingles and a Jaccard
+similarity of at least 0.8. Eight fingerprints of a text's pairs of words give
+sixteen halves, each with its trees; texts with a half within 1 bit are candidates
+(through one representative of each half's value, so a large group gives few), and
+exact sets of five-word shingles decide on each. Pairs of words change less than longer
+shingles do, so a pair of texts of similarity 0.8 is a candidate in all but about one
+case of twenty.
 
 Defined results: a text without words (null too) has fingerprint zero, linked
 like any other. Repeated rows each give a row. component_id ignores null doc_ids
-unless there is nothing else."""
+unless there is nothing else. An empty table gives no rows. keep_one keeps all columns,
+whatever their names."""
 
 from __future__ import annotations
 
@@ -25,10 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import arrow_schema, as_binary, map_arrow, materialize, text_bytes
+from quarryline.llm.common import arrow_schema, as_binary, free_name, map_arrow, materialize, mixed, runs, text_bytes, word_hashes
 
 RADIUS, HALF = 3, 1
-SAMPLE, LEAF, SMALL = 20_000, 4096, 256
+SAMPLE, LEAF = 20_000, 4096
+WIDTH, SIMILARITY, PRINTS = 5, 0.8, 8
+#: Rows' keys (16 bytes each) that are sent to all executors; beyond it the join is a shuffle, with the same rows.
+FEW = 500_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -99,47 +113,82 @@ def routes(tree: list | None, values: np.ndarray, margin: int) -> Iterator[tuple
 
 
 class Forest:
-    """Union-find that keeps the links that joined something."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-        self.links: list[tuple[int, int]] = []
-
-    def root(self, x: int) -> int:
-        path = []
-        while (y := self.up.get(x, x)) != x:
-            path.append(x)
-            x = y
-        for y in path:
-            self.up[y] = x
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        x, y = self.root(a), self.root(b)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-            self.links.append((a, b))
-
-
-def link(values: np.ndarray, halves: np.ndarray, forest: Forest, seed: int = 1, whole: bool = False) -> None:
-    """All links among distinct fingerprints: a tree over halves, then over whole
-    fingerprints where halves can't be parted, then blocks of pairs."""
-    if len(values) > SMALL:
-        keys, margin = (values, RADIUS) if whole else (halves, HALF)
-        if (found := split(keys, seed)) is not None:
-            d = np.bitwise_count(keys ^ keys.dtype.type(found[0])).astype(np.int64)
-            for side in (d <= found[1] + margin, d > found[1] - margin):
-                link(values[side], halves[side], forest, seed + 1, whole)
-            return
-        if not whole:
-            link(values, halves, forest, seed + 1, True)
-            return
-    for i in range(0, len(values), 1024):
-        for j in range(i, len(values), 1024):
-            a, b = np.nonzero(np.bitwise_count(values[i : i + 1024, None] ^ values[None, j : j + 1024]) <= RADIUS)
-            for x, y in zip((a + i).tolist(), (b + j).tolist(), strict=True):
-                if x < y:
-                    forest.join(int(values[x]), int(values[y]))
+    """Union-find over the places 0 to n - 1; every place points to its root, the smallest place of its component."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            x, y = self.root[a], self.root[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(up := self.root[self.root], self.root):
+                self.root = up
+
+
+def flips(bits: int) -> np.ndarray:
+    """All 32-bit words with this many bits set."""
+    out = np.zeros(1, np.uint32)
+    for _ in range(bits):
+        out = np.unique(out[:, None] | (np.uint32(1) << np.arange(32, dtype=np.uint32))[None])
+        out = out[np.bitwise_count(out) == out.max().bit_count()] if len(out) else out
+    return out[np.bitwise_count(out) == bits]
+
+
+def find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``asked`` and in the sorted distinct ``keys`` that are equal."""
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    hit = np.flatnonzero(keys[at] == asked)
+    return hit, at[hit]
+
+
+def link_group(other: np.ndarray, places: np.ndarray, radius: int, forest: Forest) -> None:
+    """Links among fingerprints with the same half; other: their other halves, sorted and distinct. A large
+    group looks up what differs in 1, 2 and more bits, without those that are in its largest component by then."""
+    n = len(other)
+    if n <= 2048:
+        for a in range(0, n, 512):
+            x, y = np.nonzero(np.bitwise_count(other[a : a + 512, None] ^ other[None, a:]) <= radius)
+            forest.join(places[a + x], places[a + y])
+        return
+    asked = np.arange(n)
+    for bits in range(1, radius + 1):
+        for flip in flips(bits):
+            hit, at = find(other, other[asked] ^ flip)
+            forest.join(places[asked[hit]], places[at])
+        roots, sizes = np.unique(forest.root[places], return_counts=True)
+        asked = np.flatnonzero(forest.root[places] != roots[sizes.argmax()])
+
+
+def link(values: np.ndarray, half: int, forest: Forest) -> None:
+    """All links among distinct fingerprints of which one half (0 the low one) differs in at most 1 bit."""
+    key, other = _halves(values, half), _halves(values, 1 - half)
+    order = np.lexsort((other, key))
+    key, other = key[order], other[order]
+    keys, first = np.unique(key, return_index=True)
+    upto = np.append(first[1:], len(key))
+    for a, b in zip(first[upto - first > 1].tolist(), upto[upto - first > 1].tolist(), strict=True):
+        link_group(other[a:b], order[a:b], RADIUS, forest)
+    for flip in flips(1):
+        left, right = find(keys, keys ^ flip)
+        left, right = left[left < right], right[left < right]
+        pairs = (upto - first)[left] * (upto - first)[right]
+        for i in np.flatnonzero(pairs > 1 << 16).tolist():  # large groups: look up what differs in up to 2 bits more
+            x, y = np.arange(first[left[i]], upto[left[i]]), np.arange(first[right[i]], upto[right[i]])
+            for bits in range(RADIUS):
+                for more in flips(bits):
+                    hit, at = find(other[y], other[x] ^ more)
+                    forest.join(order[x[hit]], order[y[at]])
+        small = np.flatnonzero(pairs <= 1 << 16)
+        for a, b in runs(pairs[small].tolist(), 1 << 18):
+            l, r, n = left[small[a:b]], right[small[a:b]], pairs[small[a:b]]
+            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            wide = np.repeat((upto - first)[r], n)
+            x, y = np.repeat(first[l], n) + within // wide, np.repeat(first[r], n) + within % wide
+            near = np.bitwise_count(other[x] ^ other[y]) < RADIUS
+            forest.join(order[x[near]], order[y[near]])
 
 
 def _halves(values: np.ndarray, which: int) -> np.ndarray:
@@ -162,10 +211,10 @@ def _link_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done(shard: int, parts: list[bytes]) -> pa.RecordBatch:
         values = np.unique(np.frombuffer(b"".join(parts), np.uint64))
-        forest = Forest()
-        link(values, _halves(values, shard % 2), forest)
-        pairs = np.array(forest.links, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+        forest = Forest(len(values))
+        link(values, shard % 2, forest)
+        joined = np.flatnonzero(forest.root != np.arange(len(values)))
+        return pa.RecordBatch.from_arrays([pa.array(values[x].view(np.int64)) for x in (joined, forest.root[joined])], schema=schema)
 
     now, parts = None, []
     for batch in batches:
@@ -179,11 +228,15 @@ def _link_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(now, parts)
 
 
+def _sampled(distinct: DataFrame, key: str, n: int) -> DataFrame:
+    """About SAMPLE rows, only to fit trees."""
+    return distinct.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * SAMPLE // max(n, 1) + 1))
+
+
 def links(distinct: DataFrame) -> DataFrame:
-    """distinct: fp (long, distinct). Links a, b of a spanning forest or somewhat more."""
+    """distinct: fp (long, distinct). Links a, b of a spanning forest of each shard."""
     n = distinct.count()
-    picked = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * SAMPLE // max(n, 1) + 1)).limit(2 * SAMPLE)  # only to fit the trees
-    sample = np.sort(np.array([r[0] for r in picked.collect()], np.int64)).view(np.uint64)
+    sample = np.sort(_sampled(distinct.select("fp"), "fp", n).toArrow().column(0).to_numpy().astype(np.int64)).view(np.uint64)
     trees = [grow(_halves(sample, h), n / max(len(sample), 1), LEAF) for h in (0, 1)]
     shards = map_arrow(distinct.select("fp"), partial(_route, trees=trees), "shard long, fps binary")
     return map_arrow(shards.repartition("shard").sortWithinPartitions("shard"), _link_shards, "a long, b long").distinct()
@@ -223,14 +276,163 @@ def report(documents: DataFrame) -> DataFrame:
     return groups(documents).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
-    """One row of each group: the one with the smallest doc_id (null only if all are), of several the first by a hash
-    of the row. Groups are told apart by their root, as rows of different groups may share a doc_id."""
+#: ASCII white space parts words, A-Z count as a-z; the byte 0 is a letter like any other.
+TEXT_BYTES = np.arange(256, dtype=np.uint8)
+TEXT_BYTES[65:91] += 32
+TEXT_BYTES[[9, 10, 11, 12, 13, 32]] = 0
+TEXT_BYTES[0] = 9
+#: Eight 0 or 1 bytes for the bits of a byte.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def shingles(word: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of each text's shingles, sorted, all of its words where there are fewer; and how many each text has."""
+    n = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
+    of = np.repeat(np.arange(len(counts)), n)
+    at = np.arange(int(n.sum())) + np.repeat(np.cumsum(counts) - counts - np.cumsum(n) + n, n)
+    size, out = np.minimum(counts, width)[of], np.zeros(len(of), np.uint64)
+    for k in range(width):
+        more = mixed(out * np.uint64(0xC2B2AE3D27D4EB4F) + word[np.minimum(at + k, len(word) - 1)]) if len(word) else out
+        out = np.where(k < size, more, out)
+    order = np.lexsort((out, of))
+    out, of = out[order], of[order]
+    new = np.ones(len(out), bool)
+    new[1:] = (out[1:] != out[:-1]) | (of[1:] != of[:-1])
+    return out[new], np.bincount(of[new], minlength=len(counts))
+
+
+def prints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """PRINTS 64-bit fingerprints of each text, from the hashes of its shingles."""
+    out, some = np.zeros((len(counts), PRINTS), np.uint64), np.flatnonzero(counts)
+    if not len(some):
+        return out
+    n = counts[some]
+    blocks = -(-n // 255)  # a byte counts up to 255
+    start = np.repeat(np.cumsum(n) - n, blocks) + 255 * (np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    for i in range(PRINTS):
+        lanes = LANES[mixed(hashes + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.uint8).reshape(-1, 8)]
+        sums = np.add.reduceat(lanes, start, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int64)
+        ones = 2 * np.add.reduceat(sums, np.cumsum(blocks) - blocks, axis=0) > n[:, None]
+        out[some, i] = np.packbits(ones, axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, a, b to doc_id, a, b, the text's key (a hash of its words in order) and its fingerprints."""
+    for batch in batches:
+        texts = text_bytes(batch.column(1))
+        for i, j in runs([len(x) for x in texts], 1_000_000):
+            word, counts = word_hashes(texts[i:j], TEXT_BYTES)
+            sums = np.append(np.uint64(0), np.cumsum(mixed(word + np.uint64(0x9E3779B97F4A7C15) * (np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64))))
+            ends = np.cumsum(counts)
+            key = mixed(sums[ends] - sums[ends - counts] + counts.astype(np.uint64)).view(np.int64)
+            found = prints(*shingles(word, counts, 2))
+            rows = [x.tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 2, 3)), pa.array(key), pa.array(rows, pa.binary())], schema=arrow_schema("doc_id long, a long, b long, key long, prints binary"))
+
+
+VALUE = np.dtype([("value", "<u4"), ("key", "<i8")])
+
+
+def _route_pieces(batches: Iterator[pa.RecordBatch], trees: list) -> Iterator[pa.RecordBatch]:
+    schema = arrow_schema("shard long, members binary")
+    for batch in batches:
+        rows = np.zeros(batch.num_rows, VALUE)
+        rows["key"] = batch.column(0).to_numpy()
+        halves = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, 2 * PRINTS)
+        for piece, tree in enumerate(trees):
+            rows["value"] = halves[:, piece]
+            found = [(2 * PRINTS * leaf + piece, rows[which].tobytes()) for leaf, which in routes(tree, halves[:, piece], HALF) if len(which)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], schema=schema)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a shard follow one another. All members with a value meet the first of them, and the first of each value that differs in a bit."""
+    schema = arrow_schema("a long, b long")
+
+    def done(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows = np.unique(np.frombuffer(b"".join(parts), VALUE))
+        values, first, back = np.unique(rows["value"], return_index=True, return_inverse=True)
+        pairs = [(rows["key"][first[back]], rows["key"])]
+        for flip in flips(1):
+            x, y = find(values, values ^ flip)
+            pairs.append((rows["key"][first[x]], rows["key"][first[y]]))
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.maximum(a, b)[a != b], np.minimum(a, b)[a != b])], schema=schema)
+
+    now, parts = None, []
+    for batch in batches:
+        for shard, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if shard != now and parts:
+                yield from done(parts)
+                parts = []
+            now = shard
+            parts.append(members)
+    if parts:
+        yield from done(parts)
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = text_bytes(batch.column(1))
+        for i, j in runs([len(x) for x in texts], 1_000_000):
+            found, counts = shingles(*word_hashes(texts[i:j], TEXT_BYTES), WIDTH)
+            sets = [x.tobytes() for x in np.split(found, np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], schema=arrow_schema("key long, members binary"))
+
+
+def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows a, b, set, set whose Jaccard similarity is enough."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
+            keep.append(both >= least * (len(x) + len(y) - both) if len(x) or len(y) else True)
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], schema=arrow_schema("a long, b long"))
+
+
+def similar_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """texts: key (long, distinct), prints, a, b (naming a row of the table ``source`` that has the text).
+    Candidates of all shards, a > b, not yet verified."""
+    n = texts.count()
+    found = _sampled(texts.select("key", "prints"), "key", n).select("prints").toArrow().column(0)
+    sample = np.frombuffer(b"".join(found.to_pylist()), "<u4").reshape(-1, 2 * PRINTS)
+    trees = [grow(sample[:, i].copy(), n / max(len(sample), 1), LEAF) for i in range(2 * PRINTS)]
+    shards = map_arrow(texts.select("key", "prints"), partial(_route_pieces, trees=trees), "shard long, members binary")
+    return map_arrow(shards.repartition("shard").sortWithinPartitions("shard"), _candidates, "a long, b long").distinct()
+
+
+def keep_one(documents: DataFrame, similarity: float = SIMILARITY, few: int = FEW) -> DataFrame:
+    """One row of each group of near-duplicates (of the same words, or of similar texts): the one with the smallest doc_id
+    (null only if all are), of several the first by a hash of the row."""
     row = documents.columns
-    marked = documents.withColumns({"__a": F.xxhash64(*row), "__b": F.xxhash64(F.lit(1), *row)})  # 128 bits name a row's content
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__a", "__b")
-    prints = materialize(fingerprints(marked, "__a", "__b"), "fingerprints")
-    classes = rooted(materialize(prints.groupBy("fp").agg(F.min(key).alias("least")), "classes"))
-    kept = classes.groupBy("root").agg(F.min("least").alias("least")).select("least.__a", "least.__b")
-    # rows alike in all columns are reduced where they are read, so no key is hot in the join
-    return marked.dropDuplicates(["__a", "__b"]).join(kept, ["__a", "__b"], "left_semi").select(*row)
+    one, two = free_name(row, "row_a"), free_name(row, "row_b")
+    marked = documents.withColumns({one: F.xxhash64(*row), two: F.xxhash64(F.lit(1), *row)})  # 128 bits name a row's content
+    asked = marked.select(F.col("doc_id").cast("long").alias("doc_id"), as_binary(), F.col(one).alias("a"), F.col(two).alias("b"))
+    rows = materialize(map_arrow(asked, _sketches, "doc_id long, a long, b long, key long, prints binary"), "sketches")
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
+    texts = materialize(rows.groupBy("key").agg(F.min(least).alias("least"), F.first("prints").alias("prints")).select("key", "least", "prints"), "texts")
+    pairs = materialize(similar_pairs(texts, similarity), "candidates")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", F.col("least.a").alias(one), F.col("least.b").alias(two)), "key")
+    nodes = materialize(nodes, "nodes")
+    small = lambda df: F.broadcast(df) if df.count() <= few else df
+    # rows alike in all columns are one row here, of which there may be several
+    held = marked.select(one, two, as_binary()).join(small(nodes), [one, two]).select("key", "text")
+    sets = materialize(map_arrow(held, _shingle_sets, "key long, members binary").dropDuplicates(["key"]), "sets")
+    left, right = (sets.select(F.col("key").alias(k), F.col("members").alias(f"{k}_members")) for k in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_members", "b_members")
+    roots = components(map_arrow(both, partial(_similar, least=similarity), "a long, b long"))
+    classes = texts.join(roots, texts["key"] == roots["node"], "left").select("least", F.coalesce("root", "key").alias("root"))
+    kept = materialize(classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.a").alias(one), F.col("least.b").alias(two)), "kept")
+    times = rows.groupBy(F.col("a").alias(one), F.col("b").alias(two)).agg(F.count("*").alias("times"))
+    gone = materialize(times.join(kept, [one, two], "left_anti").select(one, two), "gone")
+    again = materialize(times.where("times > 1").join(kept, [one, two], "left_semi").select(one, two), "again")
+    n_gone, n_again = gone.count(), again.count()
+    if n_gone + n_again > few:
+        return marked.dropDuplicates([one, two]).join(kept, [one, two], "left_semi").select(*row)
+    left = marked.join(F.broadcast(gone), [one, two], "left_anti")
+    if not n_again:
+        return left.select(*row)
+    repeated = left.join(F.broadcast(again), [one, two], "left_semi").dropDuplicates([one, two])
+    return left.join(F.broadcast(again), [one, two], "left_anti").unionByName(repeated).select(*row)
