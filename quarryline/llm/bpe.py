@@ -5,7 +5,8 @@ it) that it has met before. Here numpy splits all texts of a chunk into pieces a
 once, pieces are looked up in a table by a 64-bit hash, and only pieces that the
 table lacks go to the library. Texts with characters whose class isn't settled in
 every Unicode version go to the library whole, as do all texts when the tokenizer
-file isn't a plain byte-level BPE."""
+file isn't a plain byte-level BPE. Strings of special tokens are encoded as the library
+does by default; an ``ordinary`` encoder takes them for text like any other."""
 
 from __future__ import annotations
 
@@ -61,7 +62,7 @@ def classes() -> np.ndarray:
 class Table:
     """Open addressing from piece hashes to places in an array of ids; bounded."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 20):
         self.bits = bits
         self.clear()
 
@@ -107,13 +108,14 @@ class Table:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = ordinary
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec["model"].get("dropout") and spec["model"]["type"] == "BPE"
+        self.special = [] if ordinary else [x["content"] for x in spec.get("added_tokens") or []]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.model = self.tokenizer.model
         if hasattr(self.model, "_resize_cache"):
@@ -136,6 +138,8 @@ class Encoder:
         whole: dict[int, list[int]] = {}
         if not self.plain:
             whole = dict(enumerate(self._by_library(texts)))
+        elif marked := [i for i, x in enumerate(texts) if any(y in x for y in self.special)]:
+            whole = dict(zip(marked, self._by_library([texts[i] for i in marked]), strict=True))
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         lasts = np.cumsum(sizes + 1) - 1
         joined = "￿".join([*texts, ""])
@@ -145,8 +149,8 @@ class Encoder:
             odd = kinds == UNSURE
             odd |= kinds == END
             odd[lasts] = False
-            at = np.unique(np.searchsorted(lasts, np.flatnonzero(odd)))
-            whole = dict(zip(at.tolist(), self._by_library([texts[i] for i in at]), strict=True))
+            at = [i for i in np.unique(np.searchsorted(lasts, np.flatnonzero(odd))).tolist() if i not in whole]
+            whole |= dict(zip(at, self._by_library([texts[i] for i in at]), strict=True))
         if whole:
             rest = [i for i in range(len(texts)) if i not in whole]
             ids, counts = self._chunk([texts[i] for i in rest]) if rest else (np.empty(0, np.uint32), np.empty(0, np.int64))
@@ -214,6 +218,6 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, ordinary: bool = False) -> Encoder:
     """One for each Python worker."""
-    return Encoder(path)
+    return Encoder(path, ordinary)

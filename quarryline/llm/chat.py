@@ -46,19 +46,19 @@ def unescape(text: str) -> str:
 @lru_cache(2)
 def spellings(path: str) -> list[bytes]:
     back = {c: b for b, c in enumerate(SHOWN)}
-    tokenizer = encoder(path).tokenizer
-    tokens = [tokenizer.id_to_token(i) or "" for i in range(encoder(path).size)]
+    tokenizer = encoder(path, True).tokenizer
+    tokens = [tokenizer.id_to_token(i) or "" for i in range(encoder(path, True).size)]
     return [bytes(back[c] for c in x) if all(c in back for c in x) else x.encode() for x in tokens]
 
 
 def _assemble(batches: Iterator[pa.RecordBatch], path: str, learned: str) -> Iterator[pa.RecordBatch]:
-    schema, mark, place = arrow_schema(FORMATTED), encoder(path).size, 0
+    schema, mark, place = arrow_schema(FORMATTED), encoder(path, True).size, 0
     for batch in batches:
         names = batch.column(0)
         roles, texts = [[escape(x or "") for x in batch.column(i).to_pylist()] for i in (1, 2)]
         is_learned = [x == learned for x in batch.column(1).to_pylist()]
         for a, b in runs([len(x) + len(y) for x, y in zip(roles, texts, strict=True)], 1_000_000):
-            ids, counts = encoder(path).encode([z for x, y in zip(roles[a:b], texts[a:b], strict=True) for z in (x, y)])
+            ids, counts = encoder(path, True).encode([z for x, y in zip(roles[a:b], texts[a:b], strict=True) for z in (x, y)])
             n = b - a
             # before each role a turn mark, before each text a text mark, after it an end mark
             ends = np.cumsum(counts)
@@ -88,7 +88,7 @@ def format_conversations(conversations: DataFrame, path: str | None = None, lear
 
 def text_form(ids: np.ndarray, path: str) -> tuple[str, str]:
     """Role and text of a formatted turn, still escaped."""
-    mark, spell = encoder(path).size, spellings(path)
+    mark, spell = encoder(path, True).size, spellings(path)
     cut = int(np.flatnonzero(ids == mark + 1)[0])
     if ids[0] != mark or ids[-1] != mark + 2:
         raise ValueError("not a turn")

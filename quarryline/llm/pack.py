@@ -3,10 +3,10 @@
 Documents are tokenized where they are read and cut into pieces of at most
 ``limit`` tokens. Full pieces are sequences of their own. The others are dealt
 over partitions by a hash and packed there by best fit, largest first; nearly full
-bins are done. Underfull bins are the items of the next round, over an eighth as
-many partitions or fewer, until one partition packs what is left. A round that
-hardly shrinks what is left (items of over half a sequence fit with none) is the
-last one, so no task ever gets more than ``per_task`` items.
+bins are done. Underfull bins are the items of the next round, over a partition for
+each ``per_task`` of them, until one partition packs what is left. A round that
+leaves over nine tenths of its bins underfull (items of over half a sequence fit with
+none) is the last one, so no task ever gets more than about ``per_task`` items.
 
 Defined results: null text is empty, and an empty document is its end id alone.
 Repeated rows are packed as often as they occur. An empty table gives no rows.

@@ -2,14 +2,17 @@
 
 A shard: magic; zstd blocks of entries sorted by key, each with the prefix it
 shares with the key before; sparse index (first key, place and length of each
-block); Bloom filter; footer; a line feed. Keys order by doc_id, nulls first, then by a
-number that tells repeated doc_ids apart. Ids are kept in 2 bytes where the vocabulary allows.
+block); Bloom filter; footer; a line feed. Keys order by doc_id, nulls first, then by the
+text's hash, then by a number that tells repeated rows apart; they ascend over all shards.
+Ids are kept in 2 bytes where the vocabulary allows.
 
 Each executor writes whole shards through Spark's text writer (one record a
-file), so any file system Spark knows will do and a lost task leaves nothing.
+file), so any file system Spark knows will do and a lost task leaves nothing. A shard
+is one row, so SHARD bounds what a task holds; raise it where executors are larger.
 
-Defined results: null text is empty; repeated rows are kept, ordered by their
-texts' hashes; an empty table gives no rows."""
+Defined results: null text is empty; repeated rows are kept (rows alike in doc_id and
+text pass through one task, shard by shard); an empty table gives no rows. Other
+columns aren't read."""
 
 from __future__ import annotations
 
@@ -30,13 +33,13 @@ from quarryline.llm.common import arrow_schema, as_binary, map_arrow, materializ
 from quarryline.llm.pack import encoded
 
 MAGIC = b"QLSST01\n"
-BLOCK, SHARD = 64 << 10, 16 << 20
+BLOCK, SHARD = 64 << 10, 4 << 20
 FOOTER = struct.Struct("<QQQQQQI8s")  # index place and length, filter place and length, entries, ids, bytes an id, magic
-ROWS = "shard string, first binary, doc_id long, local long, n_tokens long, ids_crc32 long"
+ROWS = "first binary, doc_id long, local long, n_tokens long, ids_crc32 long"
 
 
-def key_of(doc_id: int | None, number: int = 0) -> bytes:
-    return (b"\0" + bytes(8) if doc_id is None else b"\1" + struct.pack(">Q", doc_id + (1 << 63))) + struct.pack(">I", number)
+def key_of(doc_id: int | None, text_hash: int = 0, number: int = 0) -> bytes:
+    return (b"\0" + bytes(8) if doc_id is None else b"\1" + struct.pack(">Q", doc_id + (1 << 63))) + struct.pack(">QI", text_hash + (1 << 63), number)
 
 
 def id_of(key: bytes) -> int | None:
@@ -77,7 +80,7 @@ class Writer:
     def finish(self) -> bytes:
         self.end_block()
         ends = [x[1] for x in self.index[1:]] + [self.size]
-        index = b"".join(struct.pack("<13sQQ", k, at, end - at) for (k, at), end in zip(self.index, ends, strict=True))
+        index = b"".join(struct.pack("<21sQQ", k, at, end - at) for (k, at), end in zip(self.index, ends, strict=True))
         bits = max(64, 10 * len(self.keys) // 8 * 8 + 8)
         bloom = bytearray(bits // 8)
         for k in self.keys:
@@ -89,11 +92,12 @@ class Writer:
 
 class Reader:
     def __init__(self, data: bytes):
-        self.data = data[:-1] if data[-9:-1] == MAGIC and data[-8:] != MAGIC else data
+        end = len(data) - (data[-9:-1] == MAGIC and data[-8:] != MAGIC)
+        self.data = memoryview(data)[:end]
         at, n, self.bloom_at, self.bloom_n, self.entries, self.ids, self.width, magic = FOOTER.unpack_from(self.data, len(self.data) - FOOTER.size)
         if magic != MAGIC or self.data[:8] != MAGIC:
             raise ValueError("not a shard")
-        self.index = list(struct.iter_unpack("<13sQQ", self.data[at : at + n]))
+        self.index = list(struct.iter_unpack("<21sQQ", self.data[at : at + n]))
 
     def _block(self, i: int) -> Iterator[tuple[bytes, bytes]]:
         _, at, n = self.index[i]
@@ -111,7 +115,7 @@ class Reader:
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """Ids of each row with this doc_id: filter, binary search in the index, then a scan of a block or more."""
-        key, bits = key_of(doc_id), self.bloom_n * 8
+        key, bits = key_of(doc_id, -(1 << 63)), self.bloom_n * 8
         if not all(self.data[self.bloom_at + (p >> 3)] >> (p & 7) & 1 for p in _places(key, bits)):
             return []
         out = []
@@ -125,15 +129,15 @@ class Reader:
 def _write(batches: Iterator[pa.RecordBatch], path: str, width: int, shard: int) -> Iterator[pa.RecordBatch]:
     schema, writer, last, number = pa.schema([("shard", pa.binary())]), None, object(), 0
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), text_strings(batch.column(1))
+        ids, texts = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)), text_strings(batch.column(1))
         for a, b in runs([len(x) for x in texts], 2_000_000):
             flat, ends = encoded(texts[a:b], path)
             data, start = flat.astype(f"<u{width}").tobytes(), 0
-            for doc_id, end in zip(ids[a:b], ends.tolist(), strict=True):
-                number = number + 1 if doc_id == last else 0
-                last = doc_id
+            for name, end in zip(ids[a:b], ends.tolist(), strict=True):
+                number = number + 1 if name == last else 0
+                last = name
                 writer = writer or Writer(width)
-                writer.add(key_of(doc_id, number), data[start * width : end * width])
+                writer.add(key_of(*name, number), data[start * width : end * width])
                 start = end
                 if writer.size + writer.filled >= shard:
                     yield pa.RecordBatch.from_arrays([pa.array([writer.finish()], pa.binary())], schema=schema)
@@ -148,7 +152,7 @@ def write(documents: DataFrame, path: str, tokenizer: str, shard: int = SHARD) -
 
     width = 2 if encoder(tokenizer).size <= 1 << 16 else 4
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), as_binary(), F.xxhash64("text").alias("h"))
-    ordered = texts.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
+    ordered = texts.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
     shards = map_arrow(ordered, partial(_write, path=tokenizer, width=width, shard=shard), "shard binary")
     shards.select(F.col("shard").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
@@ -156,28 +160,31 @@ def write(documents: DataFrame, path: str, tokenizer: str, shard: int = SHARD) -
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(ROWS)
     for batch in batches:
-        for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if not content:
+        for content in batch.column(0):
+            if not (data := content.as_buffer()):
                 continue
-            reader, rows, local = Reader(content), [], 0
+            reader, rows, local = Reader(data), [], 0
             for key, ids in reader:
                 n = len(ids) // reader.width
-                rows.append((id_of(key), local, n, zlib.crc32(np.frombuffer(ids, f"<u{reader.width}").astype("<u4").tobytes())))
+                rows.append((id_of(key), local, n, zlib.crc32(np.frombuffer(ids, f"<u{reader.width}").astype("<u4"))))
                 local += n
             if rows:
                 doc_id, at, n, crc = zip(*rows, strict=True)
-                fixed = [pa.array([name] * len(rows)), pa.array([reader.index[0][0]] * len(rows), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*fixed, *(pa.array(x, pa.int64()) for x in (doc_id, at, n, crc))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([reader.index[0][0]] * len(rows), pa.binary()), *(pa.array(x, pa.int64()) for x in (doc_id, at, n, crc))], schema=schema)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start, n_tokens, ids_crc32, from the shards alone."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("content")
     rows = materialize(map_arrow(files, _read, ROWS), "token-rows")
-    totals = rows.groupBy("shard").agg(F.min("first").alias("first"), F.sum("n_tokens").alias("ids"))  # a row for each shard
-    before = totals.withColumn("before", F.sum("ids").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)))
-    joined = rows.join(before.select("shard", "before"), "shard")
-    return joined.select("doc_id", (F.coalesce("before", F.lit(0)) + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    totals = rows.groupBy("first").agg(F.sum("n_tokens").alias("ids"))  # a row for each shard, named by its first key
+    # prefix sums over ranges of shards, then in each range, so no task sees all shards
+    ranged = materialize(totals.repartitionByRange("first").withColumn("part", F.spark_partition_id()), "shard-totals")
+    parts = ranged.groupBy("part").agg(F.min("first").alias("least"), F.sum("ids").alias("all"))
+    upto = parts.select("part", F.coalesce(F.sum("all").over(Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("upto"))  # a row for each partition
+    inside = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = ranged.withColumn("inside", inside).join(F.broadcast(upto), "part").select("first", (F.col("upto") + F.col("inside")).alias("before"))
+    return rows.join(before, "first").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def write_and_read(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
