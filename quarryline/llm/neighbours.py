@@ -1,15 +1,19 @@
 """Operator 4, nearest neighbours by a block matrix join.
 
-Queries go out in blocks of bounded size; every partition of the base multiplies
-its own blocks with them as int8. |x.y - qx.qy| is bounded from the quantisation
-steps, so a pair whose upper bound is under the query's k-th lower bound can't be
-among its nearest. Surviving pairs are computed again in double precision, summed
-in order of the components, and each partition's best go to a merge. The result is
-exact. Base rows are read once for each block of queries and never shuffled.
+Queries and base become blocks of rows. Each block of queries goes to SHARES tasks, each
+block of the base to one of them for each block of queries; a task holds one
+block of queries and streams blocks of the base past it, multiplying int8 tiles.
+|x.y - qx.qy| is bounded from the quantisation steps, so a pair whose upper bound is
+under the query's k-th lower bound can't be among its nearest. Surviving pairs are
+computed again in double precision, summed in order of the components, and
+each task's best go to a merge. The result is exact. Nothing passes through the driver
+but counts of blocks.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part; vectors of another dimension aren't neighbours. Rows with
-the query's vec_id are its own. A repeated query vec_id is asked once."""
+the query's vec_id are its own. A repeated query vec_id is asked once, with the smallest
+of its vectors. A query without candidates, and an empty table, give no rows. Other
+columns aren't read."""
 
 from __future__ import annotations
 
@@ -18,14 +22,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import arrow_schema, map_arrow
+from quarryline.llm.common import arrow_schema, map_arrow, materialize
 
-BLOCK_BYTES = 32 << 20
-TILE = 2048
+#: Bytes of a block of queries, which a task holds several times over, and of a block of the base, which streams by.
+QUERY_BYTES, BASE_BYTES = 8 << 20, 1 << 20
+SHARES, TILE = 8, 2048
 HIT = "query_id long, vec_id long, score double"
 
 
@@ -41,25 +45,46 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.rint(x / step[:, None]).astype(np.float32 if x.shape[1] <= 1000 else np.float64), step, np.abs(x).sum(axis=1)
 
 
-def _search(batches: Iterator[pa.RecordBatch], queries: Broadcast, k: int) -> Iterator[pa.RecordBatch]:
-    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    blocks = {d: (ids, x, *quantised(x)) for d, (ids, x) in queries.value.items()}
+BLOCK = "dim int, ids binary, vectors binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """vec_id, vector to blocks of one dimension each."""
     for batch in batches:
         ids, lists = batch.column(0).to_numpy(), batch.column(1)
         sizes = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten().to_numpy(zero_copy_only=False)
         starts = np.cumsum(sizes) - sizes
         for d in np.unique(sizes).tolist():
-            if d not in blocks:
-                continue
-            rows = np.flatnonzero(sizes == d)
-            for a in range(0, len(rows), TILE):
-                part = rows[a : a + TILE]
-                _tile(best, blocks[d], ids[part], flat[starts[part, None] + np.arange(d)], k)
-    found = [(q, i, s) for q, (i, s) in best.items()]
-    for a in range(0, len(found), 1000):
-        q = np.concatenate([np.full(len(i), q) for q, i, _ in found[a : a + 1000]])
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([i for _, i, _ in found[a : a + 1000]])), pa.array(np.concatenate([s for *_, s in found[a : a + 1000]]))], schema=arrow_schema(HIT))
+            rows, each = np.flatnonzero(sizes == d), max(1, most // (8 * d + 8))
+            for a in range(0, len(rows), each):
+                part = rows[a : a + each]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([d], pa.int32()), pa.array([ids[part].tobytes()], pa.binary()), pa.array([flat[starts[part, None] + np.arange(d)].tobytes()], pa.binary())], names=["dim", "ids", "vectors"]
+                )
+
+
+def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows task, is_base, dim, ids, vectors; a task's rows follow one another, its queries first."""
+    schema, now, block, best = arrow_schema(HIT), None, None, {}
+
+    def done() -> Iterator[pa.RecordBatch]:
+        found = list(best.items())
+        for a in range(0, len(found), 1000):
+            part = found[a : a + 1000]
+            q = np.repeat([x for x, _ in part], [len(i) for _, (i, _) in part])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([i for _, (i, _) in part])), pa.array(np.concatenate([s for _, (_, s) in part]))], schema=schema)
+
+    for batch in batches:
+        for task, is_base, dim, ids, vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            names, x = np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, dim)
+            if not is_base:
+                yield from done()
+                now, block, best = task, (names, x, *quantised(x)), {}
+            elif task == now and dim == block[1].shape[1]:
+                for a in range(0, len(names), TILE):
+                    _tile(best, block, names[a : a + TILE], x[a : a + TILE], k)
+    yield from done()
 
 
 def _tile(best: dict, block: tuple, ids: np.ndarray, base: np.ndarray, k: int) -> None:
@@ -85,21 +110,22 @@ def _tile(best: dict, block: tuple, ids: np.ndarray, base: np.ndarray, k: int) -
             best[own[i].item()] = (all_ids[order], scores[order])
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def nearest(base: DataFrame, queries: DataFrame, k: int = 20, query_bytes: int = QUERY_BYTES, base_bytes: int = BASE_BYTES, shares: int = SHARES) -> DataFrame:
     """base, queries: vec_id and vector, as usable() gives. Per query and rank:
     query_id, rank, vec_id, score (inner product), ties to the smaller vec_id."""
-    spark = base.sparkSession
-    queries = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    size = queries.agg(F.sum(F.size("vector") * 8 + 16)).head()[0] or 0
-    blocks, hits = max(1, -(-size // block_bytes)), None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        by_size: dict[int, list] = {}
-        for r in rows:
-            by_size.setdefault(len(r[1]), []).append(r)
-        sent = spark.sparkContext.broadcast({d: (np.array([r[0] for r in x], np.int64), np.array([r[1] for r in x])) for d, x in by_size.items()})
-        found = map_arrow(base.select("vec_id", "vector"), partial(_search, queries=sent, k=k), HIT)
-        hits = found if hits is None else hits.unionByName(found)
+    asked = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    number = F.monotonically_increasing_id().alias("number")
+    left = materialize(map_arrow(asked, partial(_blocks, most=query_bytes), BLOCK).select(number, "*"), "query-blocks")
+    right = materialize(map_arrow(base.select("vec_id", "vector"), partial(_blocks, most=base_bytes), BLOCK).select(number, "*"), "base-blocks")
+    # a task is a block of queries and a share of the base; base blocks go to the tasks of their dimension
+    tasks = left.select("dim", F.col("number").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    named = F.struct("block", "share").alias("task")
+    first = left.join(tasks.withColumnRenamed("dim", "d"), F.col("block") == F.col("number")).select(named, F.lit(False).alias("is_base"), "dim", "ids", "vectors")
+    mine = F.pmod(F.xxhash64("number"), F.lit(shares)).cast("int")
+    then = right.withColumn("share", mine).join(tasks, ["dim", "share"]).select(named, F.lit(True).alias("is_base"), "dim", "ids", "vectors")
+    rows = first.unionByName(then).repartition("task").sortWithinPartitions("task", "is_base")
+    numbered = rows.select(F.xxhash64("task").alias("task"), "is_base", "dim", "ids", "vectors")
+    hits = map_arrow(numbered, partial(_search, k=k), HIT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
