@@ -4,7 +4,8 @@ Each learned language has a codeword; each bit has a logistic classifier over
 hashed letter pairs and triples. Decoding takes the codeword of the smallest loss,
 bits weighted by how well their classifiers do, and flags near ties. Classifiers
 are fitted on a sample of about SAMPLE training documents, spread evenly over
-languages; it is the only bounded thing here.
+languages (about one each where there are more languages than that); it is the only
+bounded thing here, and every language has a codeword.
 
 Defined results: null texts and those without a letter are ``und`` with score 0, as
 is everything when nothing can be learned. Repeated rows each give a row."""
@@ -50,10 +51,10 @@ def histograms(texts: list[bytes]) -> np.ndarray:
 def codewords(n: int) -> np.ndarray:
     """+1 and -1, a row for each class, of many random codes the one with the largest least distance."""
     bits, rng, best = 15 + 4 * max(0, int(np.ceil(np.log2(max(n, 2)))) - 2), np.random.default_rng(7), None
-    for _ in range(200):
+    for _ in range(200 if n <= 200 else 3):
         code = rng.choice([-1, 1], (n, bits))
         code[:, np.abs(code.sum(axis=0)) == n] *= np.where(np.arange(n) % 2, -1, 1)[:, None]
-        apart = min([int((code[i] != code[j]).sum()) for i in range(n) for j in range(i)], default=bits)
+        apart = min((int((bits - (code[i] @ code[:i].T).max()) // 2) for i in range(1, n)), default=bits)
         if best is None or apart > best[0]:
             best = (apart, code)
     return best[1]
@@ -68,15 +69,16 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(documents: DataFrame) -> dict:
-    known = documents.where("text is not null and lang is not null").where(crc_mod("doc_id", 5) != 0)
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy("lang").limit(SAMPLE).collect()}
+    known = documents.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(crc_mod("doc_id", 5) != 0)
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:
         return {"langs": []}
     each = max(1, SAMPLE // len(langs))
-    share = F.element_at(F.create_map(*(F.lit(y) for x in langs for y in (x, min(1_000_000, 1 + 1_000_000 * each // counts[x])))), F.col("lang"))
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select(as_binary(), "lang")
-    rows = map_arrow(picked, _sample, "x binary, lang string").limit(3 * SAMPLE).collect()
+    shares = documents.sparkSession.createDataFrame([(x, min(1.0, each / n)) for x, n in counts.items()], "lang string, share double")
+    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 50)) / F.lit(float(1 << 50))
+    picked = known.withColumn("chance", chance).join(F.broadcast(shares), "lang").where("chance < share").select(as_binary(), "lang")
+    rows = map_arrow(picked, _sample, "x binary, lang string").collect()
     if not rows:
         return {"langs": []}
     x = np.stack([np.frombuffer(r[0], np.float16) for r in rows]).astype(np.float32)

@@ -1,8 +1,8 @@
 """Operator 9, personal data by anchor expansion.
 
-An Aho-Corasick automaton finds anchors (at-signs, plus signs, schemes, cues of
+An Aho-Corasick automaton finds anchors (at-signs, plus signs, schemes, digits, cues of
 identifiers); parsers expand each anchor to both sides and validate what they get.
-Numbers (addresses of machines, cards) are parsed from runs of digits. All of it
+A digit expands to its run; addresses of machines and cards are parsed from runs. All of it
 is linear in the text's length: no pattern is tried again from inside a match.
 
 Added spans: ``url`` (a scheme with user and password before a host), ``iban``
@@ -46,7 +46,7 @@ SSN = re.compile(r"[ :#]{0,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 @lru_cache(1)
 def anchors() -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
-    for word, kind in {"@": "email", "+": "phone", "://": "url", "IBAN": "iban", "SSN": "ssn"}.items():
+    for word, kind in ({"@": "email", "+": "phone", "://": "url", "IBAN": "iban", "SSN": "ssn"} | dict.fromkeys(string.digits, "digit")).items():
         machine.add_word(word, kind)
     machine.make_automaton()
     return machine
@@ -60,8 +60,8 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _numbers(text: str) -> list[Span]:
-    runs = [m.span() for m in RUN.finditer(text)]
+def _numbers(text: str, runs: list[tuple[int, int]]) -> list[Span]:
+    """runs: where digits are, in order."""
     out: list[Span] = []
     i = 0
     while i + 3 < len(runs):
@@ -102,10 +102,15 @@ def _iban(text: str, at: int) -> re.Match | None:
 
 
 def find(text: str) -> list[Span]:
-    out = _numbers(text)
-    mail = phone = 0  # ends of the last matches of these kinds
+    out: list[Span] = []
+    runs: list[tuple[int, int]] = []
+    mail = phone = run = 0  # ends of the last matches of these kinds
     for last, kind in anchors().iter(text):
-        if kind == "email":
+        if kind == "digit":
+            if last >= run:
+                runs.append(RUN.match(text, last).span())
+                run = runs[-1][1]
+        elif kind == "email":
             start = last
             while start > mail and text[start - 1] in LOCAL:
                 start -= 1
@@ -127,7 +132,7 @@ def find(text: str) -> list[Span]:
                 out.append(("url", start, m.end()))
         elif m := _iban(text, last + 1) if kind == "iban" else SSN.match(text, last + 1):
             out.append((kind, *m.span(1)))
-    return out
+    return out + _numbers(text, runs)
 
 
 def report(documents: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import Row
+from tokenizers import Tokenizer
 
-from quarryline.llm import bpe, chat, decontaminate, pack, pii, secrets, simhash, sstable, toxicity
+from quarryline.llm import bpe, chat, common, decontaminate, pack, pii, secrets, simhash, sstable, toxicity
 from quarryline.llm.common import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string"
@@ -17,13 +17,14 @@ def docs(spark, *texts):
 
 
 def test_encoder_equals_library():
-    e = bpe.encoder(tokenizer_path())
+    library = Tokenizer.from_file(tokenizer_path())
     random.seed(3)
-    letters = " '\n\t stdmrevl abcÉñ1２!\"  　漢😀\x1c\x85<|endoftext|>\U0001e900￿"
-    for _ in range(300):
+    letters = [*" '\n\t stdmrevl abcÉñ1２!\"  　漢😀\x1c\x85<|endoftext|>\U0001e900￿", "<|endoftext|>"]
+    for n in range(600):
         texts = ["".join(random.choices(letters, k=random.randrange(30))) for _ in range(4)]
-        ids, counts = e.encode(texts)
-        want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        library.encode_special_tokens = n % 2 > 0
+        ids, counts = bpe.encoder(tokenizer_path(), n % 2 > 0).encode(texts)
+        want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
         assert ids.tolist() == sum(want, []) and counts.tolist() == [len(x) for x in want]
 
 
@@ -67,16 +68,56 @@ def test_escaping(text):
     assert not any(c in chat.escape(text) for c in chat.CONTROL)
 
 
-def test_simhash(spark):
+def brute_components(values):
+    """The smallest place that each place reaches over steps of at most 3 bits."""
+    near = [np.flatnonzero(np.bitwise_count(values ^ x) <= 3) for x in values]
+    root = np.arange(len(values))
+    while True:
+        new = np.array([root[x].min() for x in near])
+        if (new == root).all():
+            return root
+        root = new
+
+
+def flipped(x, most, bits=64):
+    for _ in range(random.randrange(most + 1)):
+        x ^= 1 << random.randrange(bits)
+    return x
+
+
+def test_simhash_links():
     random.seed(2)
-    base = [random.getrandbits(64) for _ in range(800)]
-    values = np.array(base + [b ^ (1 << random.randrange(64)) ^ (1 << random.randrange(64)) for b in base[:200]], np.uint64)
-    got, want = simhash.Forest(), simhash.Forest()
-    simhash.link(values, simhash._halves(values, 0), got)
-    simhash.link(values, simhash._halves(values, 1), got)
-    for a, b in zip(*np.nonzero(np.bitwise_count(values[:, None] ^ values[None]) <= 3), strict=True):
-        want.join(int(values[a]), int(values[b]))
-    assert [got.root(int(x)) for x in values] == [want.root(int(x)) for x in values]
+    base = [random.getrandbits(64) for _ in range(600)]
+    centre = random.getrandbits(64)
+    for given in (base + [flipped(b, 2) for b in base[:200]], [flipped(centre, 8) for _ in range(1500)], [flipped(0x12345678 << 34, 6, 34) for _ in range(4000)]):
+        values = np.unique(np.array(given, np.uint64))
+        forest = simhash.Forest(len(values))
+        for half in (0, 1):
+            simhash.link(values, half, forest)
+        assert forest.root.tolist() == brute_components(values).tolist()
+
+
+def test_simhash_shards(spark, monkeypatch):
+    """Trees of many small leaves, with links over their boundaries and chains."""
+    monkeypatch.setattr(simhash, "LEAF", 64)
+    random.seed(8)
+    values = [random.getrandbits(64) for _ in range(1500)]
+    for _ in range(900):
+        values.append(flipped(random.choice(values[-300:]), 3))
+    values = np.unique(np.array(values, np.uint64))
+    found = simhash.components(simhash.links(spark.createDataFrame([(int(x),) for x in values.view(np.int64)], "fp long"))).collect()
+    root = {r.node: r.root for r in found}
+    signed = values.view(np.int64)
+    want = {}
+    for x, r in zip(signed.tolist(), brute_components(values).tolist(), strict=True):
+        want.setdefault(r, []).append(x)
+    got = {}
+    for x in signed.tolist():
+        got.setdefault(root.get(x, x), []).append(x)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_simhash(spark):
     rows = simhash.report(docs(spark, "a b c d", "A b  c d", None, " ", "other words in here")).collect()
     assert {r.doc_id: r.component_id for r in rows} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
 
@@ -103,14 +144,56 @@ def test_secrets():
     assert secrets.find("") == []
 
 
-def test_toxicity_counts(monkeypatch):
-    random.seed(6)
-    texts = ["", *(" ".join(random.choices(["a", "b", "c", "d"], k=random.randrange(40))) for _ in range(200))]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(201)), pa.array([x.encode() for x in texts]), pa.array([i % 2 for i in range(201)], pa.int32())], names=["doc_id", "text", "toxic"])
-    whole = [b.to_pydict() for b in toxicity._count([batch])]
+def test_toxicity_counts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "COUNT_BYTES", 300)
     monkeypatch.setattr(toxicity, "HASH_BYTES", 60)
-    assert [b.to_pydict() for b in toxicity._count([batch])] == whole
-    assert sum(whole[0]["c1"]) == sum(len(x.split()) for x in texts[1::2])
+    random.seed(6)
+    given = [(" ".join(random.choices("abcdefgh", k=random.randrange(40))), i % 2, i % 7 % (toxicity.FOLDS + 1)) for i in range(200)]
+    rows = spark.createDataFrame([(x.encode(), t, f) for x, t, f in given], "text binary, toxic int, fold int")
+    got = {r.word: r.asDict() for r in toxicity.count(rows).collect()}
+    hashes, _ = common.word_hashes([b"a b c d e f g h"])
+    for word, h in zip("abcdefgh", hashes.view(np.int64).tolist(), strict=True):
+        for name, ok in [("n", lambda t, f: True), *((toxicity.count_name(c, w), lambda t, f, c=c, w=w: t == c and f != w) for c, w in toxicity.COUNTS)]:
+            before = set()
+            for x, t, f in given:
+                if ok(t, f):
+                    said = [None, *x.split()]
+                    before |= {a for a, b in zip(said, said[1:], strict=False) if b == word}
+            assert got[h][name] == len(before)
+
+
+def test_toxicity_by_words(spark):
+    """Ratios, passages and scores against a plain form; a model that is sent in part scores alike."""
+    random.seed(7)
+    plain = [f"w{i}" for i in range(50)]
+    texts = [" ".join(random.choices(plain, k=random.randrange(1, 25)) + ["vile"] * (i % 5 == 0)) for i in range(400)] + ["", None, "vile"]
+    rows = docs(spark, *texts)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    whole = {r.doc_id: r.score for r in toxicity.score(rows, labels).collect()}
+    part = {r.doc_id: r.score for r in toxicity.score(rows, labels, block=9).collect()}
+    assert whole.keys() == part.keys() and max(abs(whole[i] - part[i]) for i in whole) < 1e-6
+    known = labels.where(common.crc_mod("doc_id", 3) != 1).join(rows, "doc_id").collect()
+    before = {c: {} for c in (0, 1, 2)}
+    for r in known:
+        said = [None, *r.text.split()]
+        for a, b in zip(said, said[1:], strict=False):
+            before[r.toxic].setdefault(b, set()).add(a)
+            before[2].setdefault(b, set()).add(a)
+    n = {c: {w: len(x) for w, x in before[c].items()} for c in before}
+    left = {c: {w: max(0, x - toxicity.DISCOUNT) for w, x in n[c].items()} for c in (0, 1)}
+    total = sum(n[2].values()) + 0.5 * len(n[2])
+
+    def ratio(w):
+        if max(n[0].get(w, 0), n[1].get(w, 0)) <= toxicity.DISCOUNT:
+            return 0.0
+        p = [0.9 * left[c].get(w, 0) / max(1, sum(left[c].values())) + 0.1 * (n[2][w] + 0.5) / total for c in (0, 1)]
+        return np.log(p[1] / p[0])
+
+    fitted = toxicity.fit(rows, labels)
+    for i, text in enumerate(texts):
+        each = [ratio(w) for w in (text or "").split()]
+        x = max((sum(each[j : j + 2]) / len(each[j : j + 2]) for j in range(max(1, len(each) - 1))), default=0) if each else 0
+        assert abs(toxicity.curved(np.array([x]), fitted)[0] - whole[i]) < 1e-5
 
 
 def test_toxicity(spark):
