@@ -1,0 +1,3 @@
+"""Lineage and quality of data platforms, and training-data operators, on Spark."""
+
+__version__ = "0.2.0"

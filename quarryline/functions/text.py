@@ -23,12 +23,13 @@ FAMILIES = {
 
 
 def file_type(path: Column, content: Column) -> Column:
-    base = F.lower(F.element_at(F.split(path, "/"), -1))
+    name = F.element_at(F.split(path, "/"), -1)
+    base = F.lower(name)
     yaml = base.endswith(".yml") | base.endswith(".yaml")
     return (
         F.when(base.endswith(".sql") & F.array_contains(F.split(path, "/"), "models"), "dbt_model")
         .when(yaml & (base.contains("schema") | base.contains("sources")), "dbt_schema")
-        .when(base == "dbt_project.yml", "dbt_project")
+        .when(name == "dbt_project.yml", "dbt_project")
         .when(base.endswith(".sql"), "sql")
         .when(base.endswith(".py") & (content.contains("from airflow") | content.contains("DAG(")), "airflow_dag")
         .when(base.endswith(".py") & (content.contains("SparkSession") | content.contains("spark.read")), "spark_job")
@@ -56,9 +57,35 @@ def canonical_type(kind: Column) -> Column:
     out = base
     for family, members in FAMILIES.items():
         out = F.when(base.isin(members), family).otherwise(out)
-    return out
+    return F.nullif(out, F.lit(""))
 
 
 def has_excluded_part(path: Column, excluded: list[str]) -> Column:
     """Whether a part of the path is one of these names, in any case."""
     return F.arrays_overlap(F.split(F.lower(path), "/"), F.array(*(F.lit(x.lower()) for x in excluded))) if excluded else F.lit(False)
+
+
+def excluded_names(raw: str | None) -> list[str]:
+    """Names of a list parted by commas or semicolons, trimmed, in lower case."""
+    return sorted({x.strip().lower() for x in (raw or "").replace(";", ",").split(",")} - {""})
+
+
+def listed(raw: str | None, default: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """A comma list of the command line; the default where it isn't given, nothing where it is empty."""
+    return default if raw is None else tuple(sorted({x.strip() for x in raw.split(",")} - {""}))
+
+
+def stem(path: Column) -> Column:
+    """A file's name without its last ending."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+
+
+def folders(path: Column) -> Column:
+    """All folders that a path is under, the top one ("") first."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+
+
+def is_mart(path: Column, name: Column) -> Column:
+    p, n = F.lower(path), F.lower(name)
+    return p.contains("marts") | p.contains("/mart/") | p.contains("intermediate") | p.contains("/int/") | n.startswith("fct_") | n.startswith("dim_") | n.startswith("mart_")

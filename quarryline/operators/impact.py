@@ -76,6 +76,14 @@ def complexity_summary(combined: DataFrame) -> DataFrame:
     return n.join(F.broadcast(above), F.lit(True)).select(F.coalesce(F.bround("mean", 0), F.lit(0)).cast("int").alias("score"), F.coalesce(F.bround("p", 6), F.lit(0.0)).alias("threshold"), "above")
 
 
+def complexity_findings(combined: DataFrame) -> DataFrame:
+    """Findings for those at or above the 80th percentile, if their complexity is 1 or more."""
+    n = combined.agg(F.percentile("combined", F.lit(PERCENTILE)).alias("p"))  # one row
+    rows = combined.join(F.broadcast(n), F.lit(True)).where((F.col("combined") >= F.col("p") - 1e-9) & (F.col("combined") >= 1))
+    text = F.format_string("Complexity %.1f at/above 80th percentile (threshold %.1f)", "combined", "p")
+    return rows.select(F.lit("warning").alias("severity"), F.lit("high_complexity").alias("category"), F.col("name").alias("asset_name"), text.alias("message"))
+
+
 def stale(commits: DataFrame, as_of: Column) -> DataFrame:
     """commits(asset_name, at): findings for those over 183 days before ``as_of``."""
     rows = commits.where(F.col("at") < as_of - F.expr(f"INTERVAL {STALE_DAYS} DAYS"))

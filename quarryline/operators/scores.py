@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.functions.text import is_mart
+
+
+RULES = 10_000
+#: Parts of findings, by which a later diff compares them.
+NO_DOCS = "No documentation: add schema description, SQL header comment, or DAG doc_md"
+WEAK_TESTS = "Tests present but schema suggests only not_null-style tests; consider uniqueness or relationships on mart/final models"
+
 
 def share_score(part: Column, whole: Column) -> Column:
     """100 where there is nothing to score."""
@@ -55,9 +63,16 @@ def missing_docs(assets: DataFrame) -> DataFrame:
     return assets.where(~F.col("has_docs")).select(severity.alias("severity"), F.lit("missing_documentation").alias("category"), F.col("name").alias("asset_name"))
 
 
+def weak_tests(assets: DataFrame) -> DataFrame:
+    """Findings for mart models whose tests only ask for values that aren't null."""
+    low = F.coalesce(F.try_element_at("tags", F.lit("test_richness")), F.lit("")) == "low"
+    rows = assets.where(F.col("has_tests") & low & is_mart(F.col("file_path"), F.col("name")) & ~is_staging(F.col("file_path"), F.col("name")))
+    return rows.select(F.lit("info").alias("severity"), F.lit("weak_test_coverage").alias("category"), F.col("name").alias("asset_name"), F.lit(WEAK_TESTS).alias("message"))
+
+
 def last_match(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """paths(path) by rules(line, pattern as a regex, owners): the last matching line wins. Rules are a file's lines, so few."""
-    hits = paths.join(F.broadcast(rules), F.expr("path rlike pattern"), "left")
+    """paths(path) by rules(line, pattern as a regex, owners): the last matching line wins. Up to RULES rules are sent to all executors."""
+    hits = paths.join(F.broadcast(rules) if rules.limit(RULES + 1).count() <= RULES else rules, F.expr("path rlike pattern"), "left")
     return hits.groupBy("path").agg(F.max_by("owners", "line").alias("owners"))
 
 
