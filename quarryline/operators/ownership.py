@@ -16,7 +16,7 @@ def rules(texts: DataFrame) -> DataFrame:
     lines = texts.select(F.posexplode(F.split("content", r"\r\n|\r|\n")).alias("line", "raw"))
     parts = F.filter(F.split(F.regexp_replace("raw", "#.*$", ""), r"\s+"), lambda x: x != "")
     return lines.select("line", parts.alias("parts")).where(F.size("parts") >= 2).select(
-        "line", F.col("parts")[0].alias("pattern"), F.array_join(F.slice("parts", 2, 1_000_000), ", ").alias("owners")
+        "line", F.get("parts", F.lit(0)).alias("pattern"), F.array_join(F.slice("parts", 2, 1_000_000), ", ").alias("owners")
     )
 
 
