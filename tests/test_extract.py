@@ -40,6 +40,7 @@ def test_feature_counts():
 def test_text_that_is_no_sql():
     assert sql_facts("{% if x %} select 1 {% endif %}") == [] and sql_facts("") == [] and sql_facts(None) == []
     assert one("select * from {{ ref('x') }}")["sources"] == []
+    assert one("{{ config(x=1) }} select * from t")["kind"] == ""  # a statement that begins with a value
     for text in ("((((", "select", "from", "create", "insert", ")))", "with a as", "update", "'open", "create table", "select ) from ( x"):
         sql_facts(text)
 

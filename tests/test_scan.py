@@ -4,6 +4,7 @@ import json
 import os
 import subprocess
 import time
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ TREE = {
     "shop/models/_sources.yml": "sources: [{name: raw, tables: [{name: items, description: all items, meta: {owner: feed}}]}]\n",
     "shop/models/schema.yml": "models:\n  - {name: stg_items, description: staged, columns: [{name: id, tests: [not_null], data_type: int}]}\n  - {name: fct_sales, columns: [{name: id, tests: [not_null]}]}\n",
     "shop/models/staging/stg_items.sql": "select id from {{ source('raw', 'items') }} where id > 0 limit 5",
-    "shop/models/marts/fct_sales.sql": "{{ config(materialized='table') }}\nwith items as (select * from {{ ref('stg_items') }}) select * from items join {{ source('raw', 'days') }} d on 1 = 1",
+    "shop/models/marts/fct_sales.sql": "with items as (select * from {{ ref('stg_items') }}) select * from items join {{ source('raw', 'days') }} d on 1 = 1",
     "adhoc/one.sql": "/* what it does */ create table sums (id int) ; insert into sums select id from fct_sales",
     "adhoc/two.sql": "select * from sums",
     "flows/daily.py": "from airflow import DAG\ndag = DAG('daily')\na = AOperator(task_id='a')\nb = BOperator(task_id='b')\na >> b\n",
@@ -122,16 +123,28 @@ def test_command_line(root, found, made, capsys, monkeypatch):
         cli.main(["scan", root, "--format", "xml"])
 
 
-def test_diff(root, capsys):
+def test_diff(spark, root, capsys, monkeypatch):
+    """Which side has what; a scan is stood for by the names of SQL files, a finding for each."""
+
+    def listed(spark, path, *more):
+        names = [p for p in repository.walk(path, ["target"]) if p.endswith(".sql")]
+        assets = spark.createDataFrame([(x,) for x in names], "name string")
+        findings = assets.selectExpr("'info' severity", "'c' category", "name asset_name", "'m' message", "'f' file_path")
+        return SimpleNamespace(assets=assets), SimpleNamespace(findings=findings)
+
+    monkeypatch.setattr(cli, "run", listed)
     with open(os.path.join(root, "adhoc", "three.sql"), "w") as f:
         f.write("create view fresh as select a from sums")
+    os.rename(os.path.join(root, "adhoc", "two.sql"), os.path.join(root, "two.txt"))
     try:
-        assert cli.main(["diff", "HEAD", "--path", root, "--exclude", "target"]) == 0
+        assert cli.main(["diff", "HEAD", "--path", os.path.join(root, "adhoc")]) == 0
     finally:
         os.remove(os.path.join(root, "adhoc", "three.sql"))
+        os.rename(os.path.join(root, "two.txt"), os.path.join(root, "adhoc", "two.sql"))
     out = capsys.readouterr().out
-    assert "assets added: 1\n  fresh" in out and "assets removed: 0" in out
+    assert "assets added: 1\n  three.sql" in out and "assets removed: 1\n  two.sql" in out and "findings added: 1\n  info  c  three.sql  m" in out
     assert cli.main(["diff", "no-such-ref", "--path", root]) == 2
+    assert len(subprocess.run(["git", "-C", root, "worktree", "list"], capture_output=True, text=True).stdout.splitlines()) == 1
 
 
 def test_reports(tmp_path, monkeypatch):
