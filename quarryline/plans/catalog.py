@@ -178,11 +178,11 @@ QUERIES = {
     "scan_diff_assets": lambda s, d: impact.added(row_assets(s, d), row_assets(s, d).where("ord % 3 <> 0"), ["name"]),
     "test_coverage": lambda s, d: scores.coverage(row_assets(s, d), "has_tests"),
     "doc_coverage": lambda s, d: scores.coverage(row_assets(s, d), "has_docs"),
-    "missing_test_findings": lambda s, d: scores.missing_tests(row_assets(s, d), _degrees(s, d)),
+    "missing_test_findings": lambda s, d: scores.missing_tests(row_assets(s, d), graph.out_degrees(row_edges(s, d))),
     "missing_doc_findings": lambda s, d: scores.missing_docs(row_assets(s, d)),
     "test_coverage_in_scope": lambda s, d: scores.coverage(scores.test_scope(row_assets(s, d)), "has_tests"),
     "doc_coverage_in_scope": lambda s, d: scores.coverage(scores.doc_scope(block_assets(s, d)), "has_docs"),
-    "missing_test_findings_in_scope": lambda s, d: scores.missing_tests(scores.test_scope(row_assets(s, d)), _degrees(s, d)),
+    "missing_test_findings_in_scope": lambda s, d: scores.missing_tests(scores.test_scope(row_assets(s, d)), graph.out_degrees(row_edges(s, d))),
     "missing_doc_findings_in_scope": lambda s, d: scores.missing_docs(scores.doc_scope(block_assets(s, d))),
     "contract_asset": lambda s, d: scores.best_asset(contracts(s, d), row_assets(s, d)),
     "path_owners": owners,
