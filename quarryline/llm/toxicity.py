@@ -8,8 +8,9 @@ Counts are exact, over all labelled training documents, of 64-bit hashes of word
 document's log-likelihoods, toxic and ordinary, are normalised by length passage by
 passage (PASSAGE words, or all of a shorter text); its score is the difference in
 the passage where it is largest, made a probability by one rising logistic curve.
-The curve is fitted on about CALIBRATE training documents in FOLDS folds, each scored
-by counts that leave its fold out.
+The curve is fitted on about CALIBRATE training documents of up to BLOCK bytes in FOLDS
+folds, each scored by counts that leave its fold out; where these documents know over BLOCK
+words of the model, on half as many, until they don't, since their words are sent to executors.
 
 The words whose counts outlast the discount are sent to executors, up to BLOCK of
 them (the commonest, 12 bytes each); the other words of a larger model meet the
@@ -193,6 +194,19 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(word_hashes(texts[a:b])[0]).view(np.int64))], names=["word"])
 
 
+def _calibrating(labelled: DataFrame, model: DataFrame, most: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Rows in a fold to fit the curve on, and what the model knows of their words: at most ``most`` rows of it."""
+    inside = labelled.where((F.col("fold") < FOLDS) & (F.octet_length("text") <= most)).select("text", "fold", "toxic")
+    chance, share = F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(1 << 30)), 1 << 30
+    while True:
+        sample = inside.where(chance < share)
+        asked = map_arrow(sample.select("text"), _words, "word long").distinct()
+        known = materialize(model.join(asked, "word", "left_semi"), "asked-ratios")
+        if known.count() <= most:
+            return sample, known
+        share //= 2
+
+
 def _sorted(table: DataFrame) -> tuple[np.ndarray, ...]:
     """Columns of a bounded table, the first as sorted unsigned numbers."""
     first, *others = (c.to_numpy() for c in table.toArrow().columns)
@@ -213,9 +227,8 @@ def fit(documents: DataFrame, labels: DataFrame, block: int = BLOCK) -> Fitted:
     model = materialize(ratios(count(labelled)), "word-ratios")
     size = model.count()
     kept = model if size <= block else model.orderBy(F.desc("n"), "word").limit(block)
-    sample = labelled.where(F.col("fold") < FOLDS).select("text", "fold", "toxic")
-    asked = map_arrow(sample.select("text"), _words, "word long").distinct()  # as many as the sample's texts have
-    sent = spark.sparkContext.broadcast(_sorted(model.drop("n", "ratio").join(asked, "word", "left_semi")))
+    sample, asked = _calibrating(labelled, model.drop("n", "ratio"))
+    sent = spark.sparkContext.broadcast(_sorted(asked))
     found = map_arrow(sample, partial(_by_fold, known=sent), "x double, toxic int").toArrow()
     sent.destroy()
     if not found.num_rows:

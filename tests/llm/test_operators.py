@@ -196,6 +196,18 @@ def test_toxicity_by_words(spark):
         assert abs(toxicity.curved(np.array([x]), fitted)[0] - whole[i]) < 1e-5
 
 
+def test_toxicity_calibrates_on_bounded_words(spark):
+    texts = [f"u{i} v{i} w{i}" for i in range(400)]
+    hashes = [int(x) for x in common.word_hashes([" ".join(texts).encode()])[0].view("int64")]
+    rows = spark.createDataFrame([(x, i % toxicity.FOLDS, i % 2) for i, x in enumerate(texts)] + [("z" * 300, 0, 0), ("out", toxicity.FOLDS, 0)], "text string, fold int, toxic int")
+    rows = rows.select(common.as_binary(), "fold", "toxic")
+    model = spark.createDataFrame([(x, 0.5) for x in hashes], "word long, ratio_0 double")
+    sample, known = toxicity._calibrating(rows, model, 5000)
+    assert (sample.count(), known.count()) == (401, 1200)
+    sample, known = toxicity._calibrating(rows, model, 299)
+    assert 0 < known.count() <= 299 and known.count() == 3 * sample.count()
+
+
 def test_toxicity(spark):
     random.seed(5)
     plain = [f"word{i}" for i in range(60)]
