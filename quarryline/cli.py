@@ -10,6 +10,7 @@ import sys
 import tempfile
 from datetime import UTC, datetime
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,11 @@ KEY = ["severity", "category", "asset_name", "message"]
 
 
 def session() -> SparkSession:
-    return SparkSession.builder.appName("quarryline").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    builder = SparkSession.builder.appName("quarryline").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
+    if SparkSession.getActiveSession() is None and SparkConf().get("spark.master", "local").startswith("local"):
+        # a scan is many small plans, which take longer to compile than to run
+        builder = builder.config("spark.sql.codegen.wholeStage", "false").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+    return builder.getOrCreate()
 
 
 def run(spark: SparkSession, root: str, dialect: str | None = None, exclude: str | None = None, whitelist: str | None = None, terminal: str | None = None, critical: int = 10) -> tuple[scan.Extracted, scan.Analysis]:

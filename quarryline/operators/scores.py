@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import is_mart
@@ -84,6 +84,5 @@ def best_asset(contracts: DataFrame, assets: DataFrame) -> DataFrame:
     for tier, left, right in tiers:
         hit = contracts.select("dataset", left.alias("k")).join(assets.select("name", "ord", right.alias("k")), "k").select("dataset", "name", "ord", F.lit(tier).alias("tier"))
         found = hit if found is None else found.unionByName(hit)
-    first = F.row_number().over(Window.partitionBy("dataset").orderBy("tier", "ord"))
-    best = found.withColumn("n", first).where("n = 1").select("dataset", "name", "tier")
+    best = found.groupBy("dataset").agg(F.min(F.struct("tier", "ord", "name")).alias("x")).select("dataset", "x.name", "x.tier")
     return contracts.select("dataset").join(best, "dataset", "left")

@@ -7,6 +7,7 @@ import time
 from types import SimpleNamespace
 
 import pytest
+import yaml
 from pyspark.sql import functions as F
 
 from quarryline import cli
@@ -147,6 +148,35 @@ def test_diff(spark, root, capsys, monkeypatch):
     assert len(subprocess.run(["git", "-C", root, "worktree", "list"], capture_output=True, text=True).stdout.splitlines()) == 1
 
 
+def test_whole_commands(root, made, capsys):
+    """scan and diff with nothing stood in for."""
+    assert cli.main(["scan", root, "--format", "json", "--exclude", "target", "--dead-asset-whitelist", "daily.b"]) == 0
+    data = json.loads(capsys.readouterr().out)
+    want = {tuple(r) for r in made.findings.select(*scan.FINDING).collect() if (r.category, r.asset_name) != ("dead_asset", "daily.b")}
+    assert {tuple(x[c] for c in scan.FINDING) for x in data["findings"]} == want
+    assert data["scores"]["dead_assets"] == 82 and "parse_warnings" not in data
+    with open(os.path.join(root, "adhoc", "three.sql"), "w") as f:
+        f.write("create view fresh as select a from sums limit 1")
+    try:
+        assert cli.main(["diff", "HEAD", "--path", root, "--exclude", "target"]) == 0
+    finally:
+        os.remove(os.path.join(root, "adhoc", "three.sql"))
+    out = capsys.readouterr().out
+    assert "assets added: 1\n  fresh\n" in out and "assets removed: 0" in out and "dead_asset  fresh" in out
+
+
+def test_action(tmp_path):
+    """The step that scans, with the interpreter stood for by echo."""
+    with open(os.path.join(os.path.dirname(__file__), "..", "action.yml")) as f:
+        action = yaml.safe_load(f)
+    assert {k: v["default"] for k, v in action["inputs"].items()} == {"path": ".", "threshold": "0", "dialect": "", "exclude": ""}
+    (tmp_path / "python").write_text('#!/bin/sh\nfor x; do echo "<$x>"; done\n')
+    (tmp_path / "python").chmod(0o755)
+    said = lambda **env: subprocess.run(["bash", "-ec", action["runs"]["steps"][-1]["run"]], env=env | {"PATH": f"{tmp_path}:{os.environ['PATH']}"}, capture_output=True, text=True, check=True).stdout.split("\n")[2:-1]
+    assert said(AT="a b", LEAST="70", DIALECT="", EXCLUDE="") == ["<ci>", "<--path>", "<a b>", "<--threshold>", "<70>"]
+    assert said(AT=".", LEAST="0", DIALECT="x", EXCLUDE="a, b")[5:] == ["<--dialect>", "<x>", "<--exclude>", "<a, b>"]
+
+
 def test_reports(tmp_path, monkeypatch):
     path = str(tmp_path / "h.jsonl")
     (tmp_path / "h.jsonl").write_text("broken\n3\n")
