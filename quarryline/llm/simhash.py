@@ -13,12 +13,15 @@ different fingerprints is lost and no group's pairs are listed. Components come
 star contractions.
 
 ``keep_one`` takes away near-duplicates by five-word shingles and a Jaccard
-similarity of at least 0.8. Eight fingerprints of a text's pairs of words give
-sixteen halves, each with its trees; texts with a half within 1 bit are candidates
-(through one representative of each half's value, so a large group gives few), and
-exact sets of five-word shingles decide on each. Pairs of words change less than longer
-shingles do, so a pair of texts of similarity 0.8 is a candidate in all but about one
-case of twenty.
+similarity of at least 0.8. Sixteen 32-bit SimHash fingerprints of a text are each
+made of its DRAWN shingles with the smallest hashes in an order of their own, so that
+two texts have one in common if they draw the same shingles, as often as their
+similarity says, wherever they differ. Each fingerprint has its trees. Of texts with
+the same one, all meet the TYPICAL ones (that share their other fingerprints with
+most, as an original does with its copies) and their neighbours in the order of the
+other fingerprints; typical texts meet those that are 1 bit away. So a group of any
+size gives a few candidates a text, and exact sets of shingles decide on each. Two
+texts of a large group that are similar to no common third one may be missed.
 
 Defined results: a text without words (null too) has fingerprint zero, linked
 like any other. Repeated rows each give a row. component_id ignores null doc_ids
@@ -40,7 +43,7 @@ from quarryline.llm.common import arrow_schema, as_binary, free_name, map_arrow,
 
 RADIUS, HALF = 3, 1
 SAMPLE, LEAF = 20_000, 4096
-WIDTH, SIMILARITY, PRINTS = 5, 0.8, 8
+WIDTH, SIMILARITY, PRINTS, DRAWN = 5, 0.8, 16, 3
 #: Rows' keys (16 bytes each) that are sent to all executors; beyond it the join is a shuffle, with the same rows.
 FEW = 500_000
 
@@ -281,10 +284,6 @@ TEXT_BYTES = np.arange(256, dtype=np.uint8)
 TEXT_BYTES[65:91] += 32
 TEXT_BYTES[[9, 10, 11, 12, 13, 32]] = 0
 TEXT_BYTES[0] = 9
-#: Eight 0 or 1 bytes for the bits of a byte.
-LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-
-
 def shingles(word: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of each text's shingles, sorted, all of its words where there are fewer; and how many each text has."""
     n = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
@@ -302,18 +301,22 @@ def shingles(word: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarr
 
 
 def prints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """PRINTS 64-bit fingerprints of each text, from the hashes of its shingles."""
-    out, some = np.zeros((len(counts), PRINTS), np.uint64), np.flatnonzero(counts)
+    """PRINTS 32-bit fingerprints of each text, from the distinct hashes of its shingles."""
+    out, some = np.zeros((len(counts), PRINTS), np.uint32), np.flatnonzero(counts)
     if not len(some):
         return out
     n = counts[some]
-    blocks = -(-n // 255)  # a byte counts up to 255
-    start = np.repeat(np.cumsum(n) - n, blocks) + 255 * (np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    start, of, most = np.cumsum(n) - n, np.repeat(np.arange(len(some)), n), np.uint64((1 << 64) - 1)
+    real = np.minimum(n, DRAWN)[:, None]
     for i in range(PRINTS):
-        lanes = LANES[mixed(hashes + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.uint8).reshape(-1, 8)]
-        sums = np.add.reduceat(lanes, start, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int64)
-        ones = 2 * np.add.reduceat(sums, np.cumsum(blocks) - blocks, axis=0) > n[:, None]
-        out[some, i] = np.packbits(ones, axis=1, bitorder="little").view(np.uint64).ravel()
+        order = mixed(hashes + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        drawn = np.zeros((len(some), DRAWN), np.uint64)
+        for k in range(DRAWN):
+            drawn[:, k] = np.minimum.reduceat(order, start)
+            order[order == drawn[of, k]] = most
+        bits = np.unpackbits(mixed(drawn).view(np.uint8).reshape(len(some), DRAWN, 8)[:, :, :4], axis=2, bitorder="little")
+        ones = 2 * (bits * (np.arange(DRAWN) < real)[:, :, None]).sum(axis=1) > real
+        out[some, i] = np.packbits(ones, axis=1, bitorder="little").view(np.uint32).ravel()
     return out
 
 
@@ -326,50 +329,72 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.append(np.uint64(0), np.cumsum(mixed(word + np.uint64(0x9E3779B97F4A7C15) * (np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64))))
             ends = np.cumsum(counts)
             key = mixed(sums[ends] - sums[ends - counts] + counts.astype(np.uint64)).view(np.int64)
-            found = prints(*shingles(word, counts, 2))
+            found = prints(*shingles(word, counts, WIDTH))
             rows = [x.tobytes() for x in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 2, 3)), pa.array(key), pa.array(rows, pa.binary())], schema=arrow_schema("doc_id long, a long, b long, key long, prints binary"))
 
 
-VALUE = np.dtype([("value", "<u4"), ("key", "<i8")])
+#: A text in a shard: the fingerprint that it is there by, the others from this one on in turn, its key.
+MEMBER = np.dtype([("value", "<u4"), ("others", "<u4", (PRINTS - 1,)), ("key", "<i8")])
+#: Of each fingerprint's texts, those that all others meet.
+TYPICAL = 4
 
 
 def _route_pieces(batches: Iterator[pa.RecordBatch], trees: list) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema("shard long, members binary")
     for batch in batches:
-        rows = np.zeros(batch.num_rows, VALUE)
+        rows = np.zeros(batch.num_rows, MEMBER)
         rows["key"] = batch.column(0).to_numpy()
-        halves = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, 2 * PRINTS)
+        found_prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, PRINTS)
         for piece, tree in enumerate(trees):
-            rows["value"] = halves[:, piece]
-            found = [(2 * PRINTS * leaf + piece, rows[which].tobytes()) for leaf, which in routes(tree, halves[:, piece], HALF) if len(which)]
+            rows["value"] = found_prints[:, piece]
+            rows["others"] = found_prints[:, [(piece + 1 + j) % PRINTS for j in range(PRINTS - 1)]]
+            found = [(PRINTS * leaf + piece, rows[which].tobytes()) for leaf, which in routes(tree, found_prints[:, piece], HALF) if len(which)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], schema=schema)
 
 
+def candidates(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of candidate pairs among a shard's texts (of MEMBER): a few a text."""
+    rows = rows[np.lexsort((rows["key"], *rows["others"][:, :3].T[::-1], rows["value"]))]
+    value, key = rows["value"], rows["key"]
+    alike = np.zeros(len(rows), np.int64)  # over the other fingerprints, how many share it and the value
+    for j in range(PRINTS - 1):
+        _, of, n = np.unique(value.astype(np.uint64) << np.uint64(32) | rows["others"][:, j], return_inverse=True, return_counts=True)
+        alike += n[of]
+    order = np.lexsort((key, -alike, value))
+    ranked = key[order]
+    values, first, back, n = np.unique(value[order], return_index=True, return_inverse=True, return_counts=True)
+    pairs = []
+    for t in range(TYPICAL):
+        more = np.flatnonzero(n[back] > t)
+        pairs.append((ranked[first[back[more]] + t], ranked[more]))
+    same = np.flatnonzero(value[1:] == value[:-1])
+    pairs.append((key[same], key[same + 1]))
+    for flip in flips(1):
+        x, y = find(values, values ^ flip)
+        pairs.append((ranked[first[x]], ranked[first[y]]))
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    return np.maximum(a, b)[a != b], np.minimum(a, b)[a != b]
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a shard follow one another. All members with a value meet the first of them, and the first of each value that differs in a bit."""
+    """Rows of a shard follow one another."""
     schema = arrow_schema("a long, b long")
 
-    def done(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        rows = np.unique(np.frombuffer(b"".join(parts), VALUE))
-        values, first, back = np.unique(rows["value"], return_index=True, return_inverse=True)
-        pairs = [(rows["key"][first[back]], rows["key"])]
-        for flip in flips(1):
-            x, y = find(values, values ^ flip)
-            pairs.append((rows["key"][first[x]], rows["key"][first[y]]))
-        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.maximum(a, b)[a != b], np.minimum(a, b)[a != b])], schema=schema)
+    def done(parts: list[bytes]) -> pa.RecordBatch:
+        a, b = candidates(np.frombuffer(b"".join(parts), MEMBER))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
     now, parts = None, []
     for batch in batches:
         for shard, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if shard != now and parts:
-                yield from done(parts)
+                yield done(parts)
                 parts = []
             now = shard
             parts.append(members)
     if parts:
-        yield from done(parts)
+        yield done(parts)
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,8 +422,8 @@ def similar_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     Candidates of all shards, a > b, not yet verified."""
     n = texts.count()
     found = _sampled(texts.select("key", "prints"), "key", n).select("prints").toArrow().column(0)
-    sample = np.frombuffer(b"".join(found.to_pylist()), "<u4").reshape(-1, 2 * PRINTS)
-    trees = [grow(sample[:, i].copy(), n / max(len(sample), 1), LEAF) for i in range(2 * PRINTS)]
+    sample = np.frombuffer(b"".join(found.to_pylist()), "<u4").reshape(-1, PRINTS)
+    trees = [grow(sample[:, i].copy(), n / max(len(sample), 1), LEAF) for i in range(PRINTS)]
     shards = map_arrow(texts.select("key", "prints"), partial(_route_pieces, trees=trees), "shard long, members binary")
     return map_arrow(shards.repartition("shard").sortWithinPartitions("shard"), _candidates, "a long, b long").distinct()
 

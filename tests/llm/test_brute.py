@@ -196,6 +196,31 @@ def test_near_duplicates(spark, few):
     assert simhash.keep_one(table.limit(0)).count() == 0
 
 
+def test_copies_of_one_original(spark):
+    """Copies that are similar to the original and mostly not to one another, and texts that were cut or continued."""
+    random.seed(23)
+    word = lambda: "".join(random.choices("abcdefghij", k=5))
+    original = [word() for _ in range(200)]
+    texts = []
+    for _ in range(250):
+        copy = list(original)
+        for i in random.sample(range(200), 4):
+            copy[i] = word()
+        texts.append(" ".join(copy))
+    texts.insert(100, " ".join(original))
+    for n in (8, 15, 40, 150, 600) * 6:
+        text = [word() for _ in range(n)]
+        texts += [" ".join(text), " ".join(text[: n - n // 6]), " ".join([*text, *(word() for _ in range(n // 2))])]
+    sets = [words5(t) for t in texts]
+    root = simhash.Forest(len(texts))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root.join(*np.array(pairs).T)
+    among = [j for i, j in pairs if i <= 250 and 100 not in (i, j)]
+    assert len(among) < 250 * 249 / 20 and len(set(root.root[:251].tolist())) == 1
+    kept = simhash.keep_one(spark.createDataFrame([(i, t, "en", "s", i) for i, t in enumerate(texts)], SCHEMA.rpartition(",")[0]))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.root.tolist()))
+
+
 def test_clashing_names(docs, spark):
     bench = spark.createDataFrame([(1, "word " * 20), (2, None)], "item_id long, text string")
     labels = spark.createDataFrame([(5, 1), (100, 0), (101, 0), (102, 1)], "doc_id long, toxic int")
