@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Collection, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +86,17 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if df.sparkSession.conf.get(key, SPARKS_OWN) == SPARKS_OWN:
         df.sparkSession.conf.set(key, BATCH_BYTES)
-    return df.mapInArrow(f, spec)
+    return df.mapInArrow(partial(_tidied, f), spec)
+
+
+def _tidied(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Workers outlive their tasks; what a task has freed goes back to the machine."""
+    try:
+        yield from f(batches)
+    finally:
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
 
 
 def free_name(taken: Collection[str], name: str) -> str:

@@ -41,7 +41,7 @@ BLOCK = 2_000_000
 BROADCAST_LABELS = 2_000_000
 CALIBRATE, FOLDS = 20_000, 4
 #: Bytes of text whose pairs are reduced together, and hashed together (hashing takes some 40 times its text).
-COUNT_BYTES, HASH_BYTES = 8_000_000, 1_000_000
+COUNT_BYTES, HASH_BYTES = 3_000_000, 1_000_000
 THRESHOLD = 0.7
 
 
