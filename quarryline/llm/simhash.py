@@ -20,8 +20,17 @@ similarity says, wherever they differ. Each fingerprint has its trees. Of texts
 the same one, all meet the TYPICAL ones (that share their other fingerprints with
 most, as an original does with its copies) and their neighbours in the order of the
 other fingerprints; typical texts meet those that are 1 bit away. So a group of any
-size gives a few candidates a text, and exact sets of shingles decide on each. Two
-texts of a large group that are similar to no common third one may be missed.
+size gives a few candidates a text, and exact sets of shingles decide on each.
+
+What these candidates leave apart is then searched exactly, so no link is lost. In any
+order of all shingles, two similar texts have one in common among the first few of
+each (those that the similarity lets it lack, and one more). The order puts shingles
+last that are frequent in a sample; what it is decides only on the work. Of texts with
+such a shingle in common, pairs that aren't linked yet are possible if their sizes and
+the parities of their shingles (a bound on how many they don't share) allow it.
+Texts with a possible pair, at any remove, are a cluster. They meet again by the
+order of their own shingles, and exact sets decide; a large cluster is cut in blocks,
+each pair of blocks a task of bounded size. Tasks give spanning forests.
 
 Defined results: a text without words (null too) has fingerprint zero, linked
 like any other. Repeated rows each give a row. component_id ignores null doc_ids
@@ -44,6 +53,10 @@ from quarryline.llm.common import arrow_schema, as_binary, free_name, map_arrow,
 RADIUS, HALF = 3, 1
 SAMPLE, LEAF = 20_000, 4096
 WIDTH, SIMILARITY, PRINTS, DRAWN = 5, 0.8, 16, 3
+#: Documents of which shingles are counted, and the commonest shingles that come last in the order.
+COUNTED, COMMON = 5_000, 200_000
+#: First shingles in a shard; shingles and texts in a block of a cluster.
+FIRST, BLOCK, BLOCK_TEXTS = 250_000, 1 << 18, 1024
 #: Rows' keys (16 bytes each) that are sent to all executors; beyond it the join is a shuffle, with the same rows.
 FEW = 500_000
 
@@ -231,9 +244,9 @@ def _link_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(now, parts)
 
 
-def _sampled(distinct: DataFrame, key: str, n: int) -> DataFrame:
-    """About SAMPLE rows, only to fit trees."""
-    return distinct.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * SAMPLE // max(n, 1) + 1))
+def _sampled(distinct: DataFrame, key: str, n: int, most: int = SAMPLE) -> DataFrame:
+    """About ``most`` rows, only to fit trees and an order."""
+    return distinct.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * most // max(n, 1) + 1))
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -320,20 +333,26 @@ def prints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_keys(word: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash of each text's words in order."""
+    sums = np.append(np.uint64(0), np.cumsum(mixed(word + np.uint64(0x9E3779B97F4A7C15) * (np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64))))
+    ends = np.cumsum(counts)
+    return mixed(sums[ends] - sums[ends - counts] + counts.astype(np.uint64)).view(np.int64)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, a, b to doc_id, a, b, the text's key (a hash of its words in order) and its fingerprints."""
+    """doc_id, text, a, b to doc_id, a, b, the text's key, its fingerprints and how many shingles it has."""
     for batch in batches:
         texts = text_bytes(batch.column(1))
         for i, j in runs([len(x) for x in texts], 1_000_000):
             word, counts = word_hashes(texts[i:j], TEXT_BYTES)
-            sums = np.append(np.uint64(0), np.cumsum(mixed(word + np.uint64(0x9E3779B97F4A7C15) * (np.arange(len(word)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64))))
-            ends = np.cumsum(counts)
-            key = mixed(sums[ends] - sums[ends - counts] + counts.astype(np.uint64)).view(np.int64)
-            found = prints(*shingles(word, counts, WIDTH))
-            rows = [x.tobytes() for x in found]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 2, 3)), pa.array(key), pa.array(rows, pa.binary())], schema=arrow_schema("doc_id long, a long, b long, key long, prints binary"))
+            hashes, n = shingles(word, counts, WIDTH)
+            rows = [x.tobytes() for x in prints(hashes, n)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in (0, 2, 3)), pa.array(text_keys(word, counts)), pa.array(rows, pa.binary()), pa.array(n.astype(np.int64))], schema=arrow_schema(SKETCH))
 
 
+SETS = "key long, members binary, odd binary, n long"
+SKETCH = "doc_id long, a long, b long, key long, prints binary, n long"
 #: A text in a shard: the fingerprint that it is there by, the others from this one on in turn, its key.
 MEMBER = np.dtype([("value", "<u4"), ("others", "<u4", (PRINTS - 1,)), ("key", "<i8")])
 #: Of each fingerprint's texts, those that all others meet.
@@ -398,12 +417,14 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, text to key, shingles, their parities and how many there are."""
     for batch in batches:
         texts = text_bytes(batch.column(1))
         for i, j in runs([len(x) for x in texts], 1_000_000):
             found, counts = shingles(*word_hashes(texts[i:j], TEXT_BYTES), WIDTH)
-            sets = [x.tobytes() for x in np.split(found, np.cumsum(counts)[:-1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], schema=arrow_schema("key long, members binary"))
+            sets = np.split(found, np.cumsum(counts)[:-1])
+            columns = [pa.array([f(x) for x in sets], pa.binary()) for f in (np.ndarray.tobytes, parities)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns, pa.array(counts.astype(np.int64))], schema=arrow_schema(SETS))
 
 
 def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -428,6 +449,264 @@ def similar_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     return map_arrow(shards.repartition("shard").sortWithinPartitions("shard"), _candidates, "a long, b long").distinct()
 
 
+def needed(size: np.ndarray, least: float) -> np.ndarray:
+    """How many shingles of a text of this size each similar text has at least; never too many by rounding."""
+    return np.ceil(least * size - 1e-6).astype(np.int64)
+
+
+def first_ones(of: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """Which shingles are among the first of their texts that are looked up; of: their texts, ascending, in order within each."""
+    return np.arange(len(of)) - (np.cumsum(counts) - counts)[of] <= (counts - needed(counts, least))[of]
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = text_bytes(batch.column(0))
+        for i, j in runs([len(x) for x in texts], 1_000_000):
+            yield pa.RecordBatch.from_arrays([pa.array(shingles(*word_hashes(texts[i:j], TEXT_BYTES), WIDTH)[0].view(np.int64))], schema=arrow_schema("shingle long"))
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """texts: text (binary), a sample. Shingles of two texts and more, sorted, at most the COMMON commonest, and their counts."""
+    counts = map_arrow(texts.select("text"), _shingle_rows, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    found = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    hashes, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+#: A first shingle of a text, in a shard.
+ENTRY = np.dtype([("shingle", "<u8"), ("key", "<i8")])
+
+
+def _first_shingles(batches: Iterator[pa.RecordBatch], common: tuple[np.ndarray, np.ndarray], least: float, shards: int) -> Iterator[pa.RecordBatch]:
+    schema = arrow_schema("shard long, entries binary")
+    for batch in batches:
+        texts, parts = text_bytes(batch.column(0)), []
+        for i, j in runs([len(x) for x in texts], 1_000_000):
+            word, counts = word_hashes(texts[i:j], TEXT_BYTES)
+            key, (hashes, n) = text_keys(word, counts), shingles(word, counts, WIDTH)
+            of, times = np.repeat(np.arange(len(n)), n), np.zeros(len(hashes), np.int64)
+            if len(common[0]):
+                hit, at = find(common[0], hashes)
+                times[hit] = common[1][at]
+            order = np.lexsort((hashes, times, of))
+            order = order[first_ones(of, n, least)]
+            rows = np.zeros(len(order), ENTRY)
+            rows["shingle"], rows["key"] = hashes[order], key[of[order]]
+            parts.append(rows)
+        rows = np.unique(np.concatenate(parts)) if parts else np.zeros(0, ENTRY)  # copies in a batch count once
+        shard = (rows["shingle"] % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        rows, (found, first) = rows[order], np.unique(shard[order], return_index=True)
+        pieces = [x.tobytes() for x in np.split(rows, first[1:])] if len(found) else []
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(pieces, pa.binary())], schema=schema)
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a shard follow one another. First shingles of two texts and more."""
+    schema = arrow_schema("shingle long, key long")
+
+    def done(parts: list[bytes]) -> pa.RecordBatch:
+        rows = np.unique(np.frombuffer(b"".join(parts), ENTRY))
+        _, back, n = np.unique(rows["shingle"], return_inverse=True, return_counts=True)
+        rows = rows[n[back] > 1]
+        return pa.RecordBatch.from_arrays([pa.array(rows["shingle"].copy().view(np.int64)), pa.array(rows["key"].copy())], schema=schema)
+
+    now, parts = None, []
+    for batch in batches:
+        for shard, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if shard != now and parts:
+                yield done(parts)
+                parts = []
+            now = shard
+            parts.append(entries)
+    if parts:
+        yield done(parts)
+
+
+def parities(members: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes, set if an odd number of them has it; 64 bits or more, as many as hashes and up to twice."""
+    width = max(64, 1 << (len(members) - 1).bit_length()) if len(members) else 64
+    odd = np.bincount((members & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Parities:
+    """Bounds from below on how many hashes two texts don't share."""
+
+    def __init__(self, rows: list[bytes]):
+        self.width, self.place, self.of = np.fromiter(map(len, rows), np.int64, len(rows)), np.zeros(len(rows), np.int64), {}
+        for w in np.unique(self.width).tolist():
+            which = np.flatnonzero(self.width == w)
+            self.place[which] = np.arange(len(which))
+            self.of[w] = np.frombuffer(b"".join(rows[i] for i in which), "<u8").reshape(len(which), -1)
+
+    def _at(self, x: np.ndarray, width: int) -> np.ndarray:
+        out = np.zeros((len(x), width // 8), np.uint64)
+        for w in (width, 2 * width):
+            which = np.flatnonzero(self.width[x] == w)
+            if len(which):
+                found = self.of[w][self.place[x[which]]]
+                out[which] = found if w == width else found[:, : width // 8] ^ found[:, width // 8 :]
+        return out
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        wide, narrow, out = np.maximum(self.width[x], self.width[y]), np.minimum(self.width[x], self.width[y]), np.zeros(len(x), np.int64)
+        for w in np.unique(narrow).tolist():
+            which = np.flatnonzero((narrow == w) & (wide <= 2 * w))  # of more different sizes nothing is said
+            for i in range(0, len(which), max(1, (1 << 22) // w)):
+                part = which[i : i + max(1, (1 << 22) // w)]
+                out[part] = np.bitwise_count(self._at(x[part], w) ^ self._at(y[part], w)).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def possible(shingle: np.ndarray, key: np.ndarray, root: np.ndarray, size: np.ndarray, odd: list[bytes], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a spanning forest of the pairs of texts with a shingle in common that have other roots and may be similar."""
+    order = np.lexsort((size, shingle))
+    shingle, key, root, size = shingle[order], key[order], root[order], size[order]
+    keys, first, place = np.unique(key, return_index=True, return_inverse=True)
+    known, forest = Parities([odd[order[i]] for i in first]), Forest(len(keys))
+    begin = np.flatnonzero(np.diff(shingle, prepend=shingle[:1] ^ 1))
+    upto = np.repeat(np.append(begin[1:], len(shingle)), np.diff(np.append(begin, len(shingle))))
+    several = np.repeat(np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin), np.diff(np.append(begin, len(shingle))))
+    after = np.where(several, upto - np.arange(len(shingle)) - 1, 0)
+    some = np.flatnonzero(after)
+    for i, j in runs(after[some].tolist(), 1 << 18):
+        n = after[some[i:j]]
+        x = np.repeat(some[i:j], n)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        near = (root[x] != root[y]) & (size[x] >= needed(size[y], least)) & (forest.root[place[x]] != forest.root[place[y]])
+        x, y = x[near], y[near]
+        near = known.apart(place[x], place[y]) <= (1 - least) / (1 + least) * (size[x] + size[y]) + 1e-6
+        forest.join(place[x[near]], place[y[near]])
+    joined = np.flatnonzero(forest.root != np.arange(len(keys)))
+    return keys[joined], keys[forest.root[joined]]
+
+
+def _possible(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """shingle, key, root, n, odd; rows of a shingle follow one another."""
+    schema, kept = arrow_schema("a long, b long"), []
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        a, b = possible(*(table.column(c).to_numpy() for c in range(4)), table.column(4).to_pylist(), least)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+    for batch in batches:
+        kept.append(batch)
+        if sum(x.num_rows for x in kept) >= 20_000:
+            table = pa.Table.from_batches(kept)
+            values = table.column(0).to_numpy()
+            whole = int(np.flatnonzero(values != values[-1])[-1]) + 1 if values[0] != values[-1] else 0  # the last shingle may go on
+            if whole:
+                yield done(table.slice(0, whole))
+                kept = table.slice(whole).combine_chunks().to_batches()
+    if sum(x.num_rows for x in kept):
+        yield done(pa.Table.from_batches(kept))
+
+
+def link_sets(sets: list[np.ndarray], root: np.ndarray, block: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of similar sets (sorted, distinct) that link all that are similar, beyond those of the same
+    root. Sets of the same block aren't compared, where there are blocks."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    by_size = np.argsort(size, kind="stable")
+    size, block = size[by_size], None if block is None else block[by_size]
+    flat = np.concatenate([sets[i] for i in by_size])
+    of = np.repeat(np.arange(len(sets)), size)
+    _, back, times = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    token = rank[back]
+    token = token[np.lexsort((token, of))]
+    start = np.cumsum(size) - size
+    low = np.searchsorted(size, needed(size, least))  # smaller ones aren't similar
+    first = np.flatnonzero(first_ones(of, size, least))
+    entries = np.sort(token[first] * len(sets) + of[first])
+    begin = np.searchsorted(entries, token[first] * len(sets) + low[of[first]])
+    end = np.searchsorted(entries, token[first] * len(sets) + of[first])
+    upto = np.searchsorted(of[first], np.arange(len(sets) + 1))
+    _, group = np.unique(root[by_size], return_inverse=True)
+    forest, mark, pairs = Forest(len(sets)), np.zeros(len(times), bool), []
+    lead = np.full(len(sets), len(sets))
+    np.minimum.at(lead, group, np.arange(len(sets)))
+    forest.join(np.arange(len(sets)), lead[group])
+    for x in np.flatnonzero(np.add.reduceat(end - begin, upto[:-1]) if len(first) else []).tolist():
+        a, n = begin[upto[x] : upto[x + 1]], (end - begin)[upto[x] : upto[x + 1]]
+        at = np.arange(int(n.sum())) + np.repeat(a - np.cumsum(n) + n, n)
+        others = np.unique(entries[at] % len(sets))
+        others = others[forest.root[others] != forest.root[x]]
+        if block is not None:
+            others = others[block[others] != block[x]]
+        own = token[start[x] : start[x] + size[x]]
+        mark[own] = True
+        for i, j in runs(size[others].tolist(), 1 << 20):
+            y = others[i:j]
+            n = size[y]
+            at = np.arange(int(n.sum())) + np.repeat(start[y] - np.cumsum(n) + n, n)
+            both = np.add.reduceat(mark[token[at]].astype(np.int64), np.cumsum(n) - n)
+            near = y[both >= least * (size[x] + n - both)]
+            for z in near.tolist():
+                if forest.root[z] != forest.root[x]:
+                    pairs.append((x, z))
+                    forest.join(np.array([x]), np.array([z]))
+        mark[own] = False
+    a, b = by_size[np.array(pairs, np.int64).reshape(-1, 2)].T
+    return a, b
+
+
+def _link_clusters(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """cluster, i, j (the task's blocks), block, key, root, members; rows of a task follow one another."""
+    schema = arrow_schema("a long, b long")
+
+    def done(task: tuple, rows: list[tuple]) -> pa.RecordBatch:
+        block, key, root, members = zip(*rows, strict=True)
+        sets = [np.frombuffer(x, np.uint64) for x in members]
+        a, b = link_sets(sets, np.array(root, np.int64), np.array(block) if task[1] != task[2] else None, least)
+        key = np.array(key, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(key[a], key[b])), pa.array(np.minimum(key[a], key[b]))], schema=schema)
+
+    now, rows = None, []
+    for batch in batches:
+        for *task, block, key, root, members in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            if task != now and rows:
+                yield done(now, rows)
+                rows = []
+            now = task
+            rows.append((block, key, root, members))
+    if rows:
+        yield done(now, rows)
+
+
+def meetings(asked: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """asked: a, text of all rows; rows: their sketches. shingle, key: first shingles of two texts and more."""
+    n, first = rows.agg(F.count("*"), F.sum(F.col("n") * (1 - similarity) + 1)).first()
+    common = common_shingles(_sampled(asked, "a", n, COUNTED))
+    shards = map_arrow(asked.select("text"), partial(_first_shingles, common=common, least=similarity, shards=int((first or 0) // FIRST) + 1), "shard long, entries binary")
+    return map_arrow(shards.repartition("shard").sortWithinPartitions("shard"), _meetings, "shingle long, key long")
+
+
+def missed_pairs(sets: DataFrame, met: DataFrame, roots: DataFrame, similarity: float, few: int = FEW) -> DataFrame:
+    """sets: key, members, odd, n; met: shingle, key; roots: node, root of what is linked. Links a, b that are
+    lacking: with those given, all similar texts are linked."""
+    linked = roots.select(F.col("node").alias("key"), F.col("root").alias("linked"))
+    told = sets.select("key", "n", "odd").join(linked, "key", "left").select("key", F.coalesce("linked", "key").alias("linked"), "n", "odd")
+    told = met.join(told, "key").select("shingle", "key", "linked", "n", "odd")
+    near = components(map_arrow(told.repartition("shingle").sortWithinPartitions("shingle"), partial(_possible, least=similarity), "a long, b long").distinct())
+    nodes = near.select(F.col("node").alias("key"), F.col("root").alias("cluster"))
+    nodes = nodes.unionByName(nodes.select(F.col("cluster").alias("key"), "cluster").distinct())
+    nodes = nodes.join(linked, "key", "left").select("key", "cluster", F.coalesce("linked", "key").alias("linked"))
+    nodes = materialize(nodes.join(sets.select("key", "n"), "key"), "clusters")
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / BLOCK_TEXTS)).cast("long")
+    open_ones = nodes.groupBy("cluster").agg(F.min("linked").alias("one"), F.max("linked").alias("two"), blocks.alias("k")).where("one <> two").select("cluster", "k")
+    mine = nodes.join(open_ones, "cluster").select("cluster", "key", "linked", "k", F.pmod(F.xxhash64("key"), "k").alias("block"))
+    mine = mine.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("other"))
+    mine = mine.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "linked")
+    keys = nodes.join(open_ones, "cluster").select("key")
+    wanted = sets.join(F.broadcast(keys) if keys.count() <= few else keys, "key", "left_semi")
+    tasks = mine.join(wanted.select("key", "members"), "key").select("cluster", "i", "j", "block", "key", "linked", "members")
+    return map_arrow(tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"), partial(_link_clusters, least=similarity), "a long, b long")
+
+
 def keep_one(documents: DataFrame, similarity: float = SIMILARITY, few: int = FEW) -> DataFrame:
     """One row of each group of near-duplicates (of the same words, or of similar texts): the one with the smallest doc_id
     (null only if all are), of several the first by a hash of the row."""
@@ -435,19 +714,24 @@ def keep_one(documents: DataFrame, similarity: float = SIMILARITY, few: int = FE
     one, two = free_name(row, "row_a"), free_name(row, "row_b")
     marked = documents.withColumns({one: F.xxhash64(*row), two: F.xxhash64(F.lit(1), *row)})  # 128 bits name a row's content
     asked = marked.select(F.col("doc_id").cast("long").alias("doc_id"), as_binary(), F.col(one).alias("a"), F.col(two).alias("b"))
-    rows = materialize(map_arrow(asked, _sketches, "doc_id long, a long, b long, key long, prints binary"), "sketches")
+    rows = materialize(map_arrow(asked, _sketches, SKETCH), "sketches")
     least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
     texts = materialize(rows.groupBy("key").agg(F.min(least).alias("least"), F.first("prints").alias("prints")).select("key", "least", "prints"), "texts")
     pairs = materialize(similar_pairs(texts, similarity), "candidates")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", F.col("least.a").alias(one), F.col("least.b").alias(two)), "key")
+    met = materialize(meetings(asked, rows, similarity), "met")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(met.select("key")).distinct().join(texts.select("key", F.col("least.a").alias(one), F.col("least.b").alias(two)), "key")
     nodes = materialize(nodes, "nodes")
     small = lambda df: F.broadcast(df) if df.count() <= few else df
     # rows alike in all columns are one row here, of which there may be several
     held = marked.select(one, two, as_binary()).join(small(nodes), [one, two]).select("key", "text")
-    sets = materialize(map_arrow(held, _shingle_sets, "key long, members binary").dropDuplicates(["key"]), "sets")
-    left, right = (sets.select(F.col("key").alias(k), F.col("members").alias(f"{k}_members")) for k in ("a", "b"))
+    sets = materialize(map_arrow(held, _shingle_sets, SETS).dropDuplicates(["key"]), "sets")
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    left, right = (sets.join(small(paired), "key", "left_semi").select(F.col("key").alias(k), F.col("members").alias(f"{k}_members")) for k in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_members", "b_members")
     roots = components(map_arrow(both, partial(_similar, least=similarity), "a long, b long"))
+    missed = materialize(missed_pairs(sets, met, roots, similarity, few), "missed")
+    if missed.head(1):
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(missed))
     classes = texts.join(roots, texts["key"] == roots["node"], "left").select("least", F.coalesce("root", "key").alias("root"))
     kept = materialize(classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.a").alias(one), F.col("least.b").alias(two)), "kept")
     times = rows.groupBy(F.col("a").alias(one), F.col("b").alias(two)).agg(F.count("*").alias("times"))
